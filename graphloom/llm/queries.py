@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import quality
-from graphloom.llm.common import table
+from graphloom.llm import bigru, pieces_fst, quality, simhash, spans, tiling, tokens, toxicity, warc
+from graphloom.llm.common import cut, shared_dir, table
 
 
 def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +17,51 @@ def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", "host_failed")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "fingerprint", "component_id", "n_links")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    cut(warc.write(table(spark, sf_dir, "pages"), folder))
+    return warc.read(spark, folder, keep_payload=False).filter("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.section_tokens(table(spark, sf_dir, "documents"))
+
+
+def op2_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tiling.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumn("coverage", F.col("covered_words") / F.col("item_words"))
+
+
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spans.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op5_byte_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = bigru.held_out(F.col("doc_id"), 3)
+    out = bigru.predict(docs, bigru.train(docs.filter(fold != 1)))
+    return out.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_fst.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = bigru.held_out(F.col("doc_id"), 5)
+    labels = table(spark, sf_dir, "labels").filter("toxic IS NOT NULL").select("doc_id", "toxic").filter(fold != 0)
+    machine = toxicity.train(docs.join(labels, "doc_id"))
+    out = toxicity.score(docs, machine)
+    return out.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents
@@ -56,8 +103,12 @@ FROM f JOIN v USING (host)
 """
 
 
+#: Every query of this package, by name.
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_greedy_tiling, op4_sentence_spans, op5_byte_bigru, op6_simhash, op7_host_quality, op8_sentencepiece, op9_string_kernel, op10_warc)}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_host_quality": op7_host_quality}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:

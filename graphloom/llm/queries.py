@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bigru, pieces_fst, quality, simhash, spans, tiling, tokens, toxicity, warc
+from graphloom.llm import bigru, pieces_fst, quality, simhash, spans, suffixes, tiling, tokens, toxicity, warc
 from graphloom.llm.common import cut, shared_dir, table
 
 
@@ -37,6 +37,11 @@ def op2_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("coverage", F.col("covered_words") / F.col("item_words"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remaining(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spans.without_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -104,7 +109,7 @@ FROM f JOIN v USING (host)
 
 
 #: Every query of this package, by name.
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_greedy_tiling, op4_sentence_spans, op5_byte_bigru, op6_simhash, op7_host_quality, op8_sentencepiece, op9_string_kernel, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_greedy_tiling, op3_suffix_array, op4_sentence_spans, op5_byte_bigru, op6_simhash, op7_host_quality, op8_sentencepiece, op9_string_kernel, op10_warc)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -66,12 +66,12 @@ def vote(hashes: list[int]) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t"):
-            fp = [vote(shingle_hashes(x)) if x else 0 for x in b.column("t").to_pylist()]
+            fp = [vote(shingle_hashes(x, shingle)) if x else 0 for x in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8").alias("t")).mapInArrow(run, "doc_id long, fp long")
@@ -153,10 +153,10 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return left.alias("l").join(right.alias("r"), near).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links) and
     n_links (linked fingerprints other than the row's own) of each row of docs."""
-    fps = cut(fingerprints(docs))
+    fps = cut(fingerprints(docs, shingle))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     edges = cut(links(nodes, threshold))
     named = component_of(nodes.withColumnRenamed("fp", "node"), edges, "first")
@@ -165,8 +165,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return fps.join(labels, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs, columns unchanged, without all but one of each group: the smallest doc_id stays, and
     all rows with it; rows with a null doc_id stay."""
-    dropped = near_duplicates(docs, threshold).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
+    dropped = near_duplicates(docs, threshold, shingle).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
     return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")

@@ -2,7 +2,7 @@
 
 The kernel of two words is the cosine of their gap-weighted subsequences: every triple of letters within `span` characters counts
 DECAY ** (characters spanned), so inserted characters and gaps cost a little, not everything.  Landmarks are
-words; the kernel to them, whitened by the landmarks' own kernel, is a word's feature vector.  The machine is trained on
+words; the kernel to them, whitened by the landmarks' own kernel, is a word's feature vector (the cosine's POWER-th power, a kernel too).  The machine is trained on
 sentences: a sentence of a clean document is clean; of a toxic document, the sentence that the present machine
 finds worst is toxic (a few rounds, the first one led by how much oftener a word occurs in toxic documents).  A
 sentence scores as its worst word, a document as its worst sentence, mapped to 0..1 by a logistic curve fitted to
@@ -31,16 +31,19 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import pieces
 
 DECAY = 0.6
+POWER = 3  #: of the cosine, which keeps unlike words apart
 KEPT_WORDS = 200_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    sample: int = 4000  #: documents of each label
-    landmarks: int = 96  #: of each kind, likely and unlikely words
+    sample: int = 1000  #: documents of each label
+    clean_words: int = 20_000  #: of the sample's clean texts, the most frequent
+    landmarks: int = 48  #: of each kind, toxic and frequent clean words
     span: int = 5
     longest: int = 24
-    rounds: int = 3
+    rounds: int = 2
+    surprise: float = 4.0  #: standard deviations from which a word speaks for its sentence
     steps: int = 300
     penalty: float = 1e-4
 
@@ -78,7 +81,7 @@ class Kernel:
                 self.matrix[k, row] = weight / norms[row]
         gram = self.kernel(landmarks)
         value, vector = np.linalg.eigh((gram + gram.T) / 2)
-        keep = value > 1e-3
+        keep = value > 0.05
         self.white = (vector[:, keep] / np.sqrt(value[keep])).astype("f4")
 
     def _letters(self, found: list[str]) -> np.ndarray:
@@ -100,24 +103,28 @@ class Kernel:
 
     @staticmethod
     def _norms(triples: tuple, n: int) -> np.ndarray:
-        row, code, weight = triples
-        order = np.lexsort((code, row))
-        row, code, weight = row[order], code[order], weight[order]
-        first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(code) != 0)]) if len(row) else np.zeros(0, int)
-        total = np.add.reduceat(weight, first) if len(first) else np.zeros(0)
-        return np.bincount(row[first], total**2, minlength=n)
+        """Squared lengths; a triple that a word has twice counts as two."""
+        return np.bincount(triples[0], triples[2] ** 2, minlength=n)
 
     def kernel(self, found: list[str]) -> np.ndarray:
         """The cosine kernel of words to landmarks."""
-        triples = self._triples(found)
-        row, code, weight = triples
+        row, at, weight = self._known(triples := self._triples(found))
+        order = np.argsort(row, kind="stable")
+        row, at, weight = row[order], at[order], weight[order].astype("f4")
         out = np.zeros((len(found), len(self.landmarks)), "f4")
-        at = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
-        hit = self.codes[at] == code if len(self.codes) else np.zeros(len(code), bool)
-        r, k, w = row[hit], at[hit], weight[hit].astype("f4")
-        for i in range(0, len(r), 1 << 16):
-            np.add.at(out, r[i : i + (1 << 16)], self.matrix[k[i : i + (1 << 16)]] * w[i : i + (1 << 16), None])
-        return out / np.sqrt(np.maximum(1e-9, self._norms(triples, len(found))))[:, None].astype("f4")
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        for i in range(0, len(first), 1024):
+            cut = first[i : i + 1024]
+            own = slice(cut[0], first[i + 1024] if i + 1024 < len(first) else len(row))
+            out[row[cut]] = np.add.reduceat(self.matrix[at[own]] * weight[own, None], cut - cut[0], axis=0)
+        return (out / np.sqrt(np.maximum(1e-9, self._norms(triples, len(found))))[:, None].astype("f4")) ** POWER
+
+    def _known(self, triples: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place in codes, weight) of the triples that landmarks have."""
+        row, code, weight = triples
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = self.codes[at] == code
+        return row[hit], at[hit], weight[hit]
 
     def features(self, found: list[str]) -> np.ndarray:
         return self.kernel(found) @ self.white
@@ -148,49 +155,57 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.worst(texts) + self.shift, -30, 30)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, count: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, both classes alike in weight, by accelerated gradient steps."""
     x1 = np.hstack([x, np.ones((len(x), 1), "f4")])
-    c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    rate = 1 / (2 * np.linalg.norm(x1 * np.sqrt(c)[:, None], 2) ** 2 + s.penalty)
-    w = v = np.zeros(x1.shape[1])
+    c, y = np.sqrt(count).astype("f4"), y.astype("f4")
+    c[y > 0] *= 0.5 / c[y > 0].sum()
+    c[y < 0] *= 0.5 / c[y < 0].sum()
+    rate = 1 / (2 * np.linalg.eigvalsh((x1 * c[:, None]).T @ x1)[-1] + s.penalty)
+    w = v = np.zeros(x1.shape[1], "f4")
     for t in range(s.steps):
         slack = np.maximum(0, 1 - y * (x1 @ v))
         g = -2 * x1.T @ (c * y * slack) + s.penalty * v
-        new = v - rate * g
-        v, w = new + t / (t + 3) * (new - w), new
+        new = (v - rate * g).astype("f4")
+        v, w = new + np.float32(t / (t + 3)) * (new - w), new
     return w[:-1].astype("f4"), float(w[-1])
 
 
+def _surprise(in_bad: Counter, in_good: Counter, n_bad: int, n_good: int) -> dict[str, float]:
+    """By how many standard deviations each word is in more toxic texts than its share."""
+    expected = {w: (n + in_good[w]) * n_bad / (n_bad + n_good) for w, n in in_bad.items()}
+    return {w: (n - expected[w]) / np.sqrt(expected[w] + 0.1) for w, n in in_bad.items()}
+
+
 def fit(rows: list[tuple[str, int]], s: Settings = Settings()) -> Machine | None:
     """A machine fitted to texts and labels."""
     bad, good = [t for t, y in rows if y == 1 and t], [t for t, y in rows if y == 0 and t]
     if not bad or not good:
         return None
-    chop = lambda t: [p for w in words(t) for p in ([w] if len(w) <= s.longest else [])]
-    in_bad, in_good = Counter(w for t in bad for w in set(chop(t))), Counter(w for t in good for w in set(chop(t)))
-    odds = {w: (n / len(bad) + 0.0) * np.log((n + 0.1) / (len(bad) + 1) / ((in_good[w] + 0.1) / (len(good) + 1))) for w, n in in_bad.items() if len(w) > 2}
-    likely = sorted((w for w in odds if in_bad[w] > 1 or len(bad) < 5), key=lambda w: (-odds[w], w))[: s.landmarks]
+    own = lambda t: {w for w in words(t) if len(w) <= s.longest}
+    sentences = [[c for c in map(own, _SENTENCE.split(t)) if c] for t in bad]
+    in_bad, in_good = Counter(w for d in sentences for w in set().union(*d)), Counter(w for t in good for w in own(t))
+    odd = _surprise(in_bad, in_good, len(bad), len(good))
+    ranked = sorted(odd, key=lambda w: (-odd[w], w))
+    least = min(s.surprise, odd[ranked[0]]) if ranked else 0.0
+    likely = [w for w in ranked[: s.landmarks] if odd[w] >= least]
     often = [w for w, _ in sorted(in_good.items(), key=lambda x: (-x[1], x[0])) if w not in set(likely)][: s.landmarks]
     if not likely or not often:
         return None
     kernel = Kernel(likely + often, s)
-    sentences = [[c for c in map(chop, _SENTENCE.split(t)) if c] for t in bad]
-    # the first machine: the word with the best odds of each toxic document
-    worst = [max((w for c in d for w in c), key=lambda w: (odds.get(w, -9), w), default=None) for d in sentences]
-    clean = list(in_good)
-    clean_x, machine = kernel.features(clean), None
+    toxic = {w for w in ranked if odd[w] >= least}
+    clean = [w for w, _ in sorted(in_good.items(), key=lambda x: (-x[1], x[0])) if w not in toxic][: s.clean_words]
+    clean_x, clean_n, machine = kernel.features(clean), np.array([in_good[w] for w in clean], float), None
     for _ in range(s.rounds):
-        count = Counter(w for w in worst if w)
-        toxic = list(count)
-        x = np.vstack([kernel.features([w for w in toxic for _ in range(min(count[w], 20))]), clean_x])
-        y = np.r_[np.ones(len(x) - len(clean_x)), -np.ones(len(clean_x))]
-        machine = Machine(kernel, *_svm(x, y, s))
-        worst = []
+        # of each toxic document, the words of its worst sentence that speak for it
+        picked = Counter()
         for d in sentences:
-            flat = [w for c in d for w in c]
-            machine.worst([" ".join(flat)])
-            worst.append(max(flat, key=lambda w: (machine.known.get(w.strip(_EDGE), -9), w), default=None))
+            found = [(max(machine.known[w] if machine else odd[w] for w in hit), w0) for c in d if (hit := c & toxic) for w0 in [sorted(hit)]]
+            picked.update(max(found)[1] if found else ())
+        x = np.vstack([kernel.features(list(picked)), clean_x])
+        y = np.r_[np.ones(len(picked)), -np.ones(len(clean))]
+        machine = Machine(kernel, *_svm(x, y, np.r_[np.array(list(picked.values()), float), clean_n], s))
+        machine.worst([" ".join(c) for d in sentences for c in d])
     margins = np.r_[machine.worst(bad), machine.worst(good)]
     y = np.r_[np.ones(len(bad)), np.zeros(len(good))]
     _curve(machine, margins, y)
@@ -216,7 +231,7 @@ def train(labelled: DataFrame, s: Settings = Settings()) -> Machine | None:
     found = []
     for label in (0, 1):
         own = labelled.filter((F.col("toxic") == label) & F.col("text").isNotNull())
-        found += own.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(s.sample).select("text", "toxic").toLocalIterator()
+        found += own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample).select("text", "toxic").toLocalIterator()
     return fit([(r.text, r.toxic) for r in found], s)
 
 

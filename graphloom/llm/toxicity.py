@@ -3,8 +3,8 @@
 The kernel of two words is the cosine of their gap-weighted subsequences: every triple of letters within `span` characters counts
 DECAY ** (characters spanned), so inserted characters and gaps cost a little, not everything.  Landmarks are
 words; the kernel to them, whitened by the landmarks' own kernel, is a word's feature vector (the cosine's POWER-th power, a kernel too).  The machine is trained on
-sentences: a sentence of a clean document is clean; of a toxic document, the sentence that the present machine
-finds worst is toxic (a few rounds, the first one led by how much oftener a word occurs in toxic documents).  A
+words of labelled sentences: all words of clean documents are clean; of a toxic document, the sentences count that hold
+words found in toxic documents much oftener than chance allows, and those words are toxic.  A
 sentence scores as its worst word, a document as its worst sentence, mapped to 0..1 by a logistic curve fitted to
 the training documents.
 
@@ -19,6 +19,7 @@ result.  Columns other than doc_id, text (and toxic, in training) are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,14 +39,14 @@ KEPT_WORDS = 200_000
 @dataclass(frozen=True)
 class Settings:
     sample: int = 1000  #: documents of each label
-    clean_words: int = 20_000  #: of the sample's clean texts, the most frequent
+    clean_words: int = 20_000  #: of the sample's clean texts, those with the smallest hash
     landmarks: int = 48  #: of each kind, toxic and frequent clean words
     span: int = 5
     longest: int = 24
-    rounds: int = 2
-    surprise: float = 4.0  #: standard deviations from which a word speaks for its sentence
+    share: float = 0.25  #: of the largest gain that a word's must have
+    surprise: float = 1.0  #: gain over chance from which a word speaks for its sentence
     steps: int = 300
-    penalty: float = 1e-4
+    penalty: float = 3e-3
 
 
 _SPLIT = re.compile(r"\S+")
@@ -172,9 +173,14 @@ def _svm(x: np.ndarray, y: np.ndarray, count: np.ndarray, s: Settings) -> tuple[
 
 
 def _surprise(in_bad: Counter, in_good: Counter, n_bad: int, n_good: int) -> dict[str, float]:
-    """By how many standard deviations each word is in more toxic texts than its share."""
-    expected = {w: (n + in_good[w]) * n_bad / (n_bad + n_good) for w, n in in_bad.items()}
-    return {w: (n - expected[w]) / np.sqrt(expected[w] + 0.1) for w, n in in_bad.items()}
+    """The log-likelihood gain of each word that is in more toxic texts than its share, over what chance gives among so many words."""
+    often = {w: n for w, n in in_bad.items() if n > 1} or in_bad
+    chance = np.log(len(often) + 1)
+    out = {}
+    for w, n in often.items():
+        expected = (n + in_good[w]) * n_bad / (n_bad + n_good)
+        out[w] = (n * np.log(n / expected) if n > expected else 0.0) - chance
+    return out
 
 
 def fit(rows: list[tuple[str, int]], s: Settings = Settings()) -> Machine | None:
@@ -187,25 +193,21 @@ def fit(rows: list[tuple[str, int]], s: Settings = Settings()) -> Machine | None
     in_bad, in_good = Counter(w for d in sentences for w in set().union(*d)), Counter(w for t in good for w in own(t))
     odd = _surprise(in_bad, in_good, len(bad), len(good))
     ranked = sorted(odd, key=lambda w: (-odd[w], w))
-    least = min(s.surprise, odd[ranked[0]]) if ranked else 0.0
+    least = max(min(s.surprise, odd[ranked[0]]), s.share * odd[ranked[0]]) if ranked else 0.0
     likely = [w for w in ranked[: s.landmarks] if odd[w] >= least]
-    often = [w for w, _ in sorted(in_good.items(), key=lambda x: (-x[1], x[0])) if w not in set(likely)][: s.landmarks]
+    often = [w for w, _ in sorted(in_good.items(), key=lambda x: (-x[1], x[0])) if w not in set(likely)][: s.landmarks // 2]
     if not likely or not often:
         return None
     kernel = Kernel(likely + often, s)
     toxic = {w for w in ranked if odd[w] >= least}
-    clean = [w for w, _ in sorted(in_good.items(), key=lambda x: (-x[1], x[0])) if w not in toxic][: s.clean_words]
-    clean_x, clean_n, machine = kernel.features(clean), np.array([in_good[w] for w in clean], float), None
-    for _ in range(s.rounds):
-        # of each toxic document, the words of its worst sentence that speak for it
-        picked = Counter()
-        for d in sentences:
-            found = [(max(machine.known[w] if machine else odd[w] for w in hit), w0) for c in d if (hit := c & toxic) for w0 in [sorted(hit)]]
-            picked.update(max(found)[1] if found else ())
-        x = np.vstack([kernel.features(list(picked)), clean_x])
-        y = np.r_[np.ones(len(picked)), -np.ones(len(clean))]
-        machine = Machine(kernel, *_svm(x, y, np.r_[np.array(list(picked.values()), float), clean_n], s))
-        machine.worst([" ".join(c) for d in sentences for c in d])
+    rest = sorted((w for w in in_good if w not in toxic), key=lambda w: (zlib.crc32(w.encode()), w))
+    clean = rest[: s.clean_words]
+    # a toxic document's sentences that hold words that speak against it; their other words say nothing
+    picked = Counter(w for d in sentences for c in d for w in c & toxic)
+    x = np.vstack([kernel.features(list(picked)), kernel.features(clean)])
+    y = np.r_[np.ones(len(picked)), -np.ones(len(clean))]
+    count = np.array([*picked.values(), *(in_good[w] for w in clean)], float)
+    machine = Machine(kernel, *_svm(x, y, count, s))
     margins = np.r_[machine.worst(bad), machine.worst(good)]
     y = np.r_[np.ones(len(bad)), np.zeros(len(good))]
     _curve(machine, margins, y)

@@ -6,7 +6,8 @@ suffixes mostly share theirs, so a document is sent as segments (the bytes of co
 token), not suffix by suffix.  Spark samples splitters and range-partitions the segments by token;
 a bucket is sorted by token and, within a token, its suffixes by a hash of their first `length`
 bytes, so that equal ones are neighbours.  A token that may lie on both sides of a bucket's boundary, or that has more than
-`most` bytes, is compared across buckets: its suffixes' hashes are counted by an ordinary aggregation with partial sums.
+`most` bytes, is also compared across buckets: what a bucket finds is settled there, and one suffix of each text goes on, to be counted by an
+ordinary aggregation with partial sums.
 So a passage that a third of all documents share meets in no single task.
 
 Texts are UTF-8 bytes; matches never cross documents; overlaps count; strings are judged on the input.
@@ -26,14 +27,14 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, pieces
 
-LENGTH, GRAM, MOST = 400, 32, 32 << 20
+LENGTH, GRAM, MOST = 400, 32, 8 << 20
 
 _RNG = np.random.default_rng(20)
 _BYTES = _RNG.integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 SEGMENTS = "token long, rid long, start long, bytes binary"
-FOUND = "token long, rid long, start long, end long, bytes binary"
+FOUND = "token long, rid long, start long, end long, bytes binary, skip binary"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -97,58 +98,68 @@ def _runs(again: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(at[np.r_[0, breaks + 1]].tolist(), (at[np.r_[breaks, len(at) - 1]] + length).tolist()))
 
 
-def _compare(group: list[tuple[int, int, bytes]], length: int) -> Iterator[tuple[int, int, int]]:
-    """(rid, start, end) of what repeats among the segments of one token."""
+def _compare(group: list[tuple[int, int, bytes]], length: int) -> tuple[list[tuple[int, int, int]], list[np.ndarray]]:
+    """The (rid, start, end) of what repeats among the segments of one token, and by segment the suffixes
+    that another one here equals and stands for."""
     hashes = _hashes([g[2] for g in group], length)
     flat = np.concatenate(hashes)
-    if len(flat) < 2:
-        return
     order = np.argsort(flat, kind="stable")
     same = flat[order[1:]] == flat[order[:-1]]
-    again = np.zeros(len(flat), bool)
-    again[order[1:][same]] = True
+    again, later = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+    later[order[1:][same]] = True
     again[order[:-1][same]] = True
-    if not same.any():
-        return
-    at = 0
+    again |= later
+    runs, skips, at = [], [], 0
     for (rid, start, _), h in zip(group, hashes):
-        for a, e in _runs(again[at : at + len(h)], length):
-            yield rid, start + a, start + e
+        runs += [(rid, start + a, start + e) for a, e in _runs(again[at : at + len(h)], length)]
+        skips.append(later[at : at + len(h)])
         at += len(h)
+    return runs, skips
 
 
 def _bucket(length: int, most: int):
     """Sorted segments of one bucket -> runs that repeat (end set), or segments to compare across buckets (bytes set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["token", "rid", "start", "end", "bytes"], [pa.int64()] * 4 + [pa.binary()]
+        names, kinds = ["token", "rid", "start", "end", "bytes", "skip"], [pa.int64()] * 4 + [pa.binary()] * 2
 
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
         out, size, now, group, held, first, across = [], 0, None, [], 0, None, False
 
-        def unresolved():
-            return [(now, r, s, None, p) for r, s, p in group]
+        def resolved(across):
+            """The runs found here; across buckets go the segments too, without the suffixes that others here stand for."""
+            if not across and len(group) < 2 and len(group[0][2]) <= length:
+                return []
+            runs, skips = _compare(group, length)
+            rows = [(now, r, a, e, None, None) for r, a, e in runs]
+            if across:
+                rows += [(now, r, s, None, p, np.packbits(k).tobytes()) for (r, s, p), k in zip(group, skips) if not k.all()]
+            return rows
 
         for b in batches:
             for token, rid, start, part in zip(*(c.to_pylist() for c in b.columns)):
                 if token != now:
                     if group:
-                        new = unresolved() if across else [(now, r, a, e, None) for r, a, e in (_compare(group, length) if len(group) > 1 or len(group[0][2]) > length else ())]
+                        new = resolved(across)
                         out += new
-                        size += sum(len(x[4] or b"") + 32 for x in new)
+                        size += sum(len(x[4] or b"") + 48 for x in new)
                     first = token if first is None else first
                     now, group, held, across = token, [], 0, token == first
                 group.append((rid, start, part))
                 held += len(part)
-                if held > most:  # too much for one task: goes on as it is, with all that follows of it
-                    yield batch(unresolved())
-                    group, held, across = [], 0, True
+                if held > most:  # too much for one task: this much is settled, the rest of the token is compared across
+                    across = True
+                    out += resolved(True)
+                    size += held
+                    group, held = [], 0
                 if size > 4 << 20:
-                    yield batch(out)
+                    if out:
+                        yield batch(out)
                     out, size = [], 0
-        out += unresolved()  # the last token may go on in the next bucket
+        if group:  # the last token may go on in the next bucket
+            out += resolved(True)
         if out:
             yield batch(out)
 
@@ -159,19 +170,18 @@ def repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFram
     """(rid, start, end) of runs of bytes that repeat; docs has rid and t (bytes).  Runs of a row may overlap."""
     sent = _sent(docs, length).repartitionByRange("token", "rid", "start").sortWithinPartitions("token", "rid", "start")
     found = cut(sent.mapInArrow(_bucket(length, most), FOUND))
-    # across buckets: single segments whose token is nowhere else have no partner but themselves
     open_ = found.filter("bytes IS NOT NULL")
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "bytes", 1 << 18):
             h = _hashes(b.column("bytes").to_pylist(), length)
-            n = [len(x) for x in h]
-            k = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+            at = [np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8), count=len(y)) == 0) for x, y in zip(b.column("skip").to_pylist(), h)]
+            h = [x[k] for x, k in zip(h, at)]
+            k, at = np.repeat(np.arange(len(h)), [len(x) for x in h]), np.concatenate(at)
             token, rid, start = (b.column(c).to_numpy()[k] for c in ("token", "rid", "start"))
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.concatenate(h).view(np.int64)), pa.array(rid), pa.array(start + at)], ["token", "h", "rid", "start"])
 
-    each = open_.select("token", "rid", "start", "bytes").mapInArrow(exploded, "token long, h long, rid long, start long")
+    each = open_.select("token", "rid", "start", "bytes", "skip").mapInArrow(exploded, "token long, h long, rid long, start long")
     twice = each.groupBy("token", "h").agg(F.count("*").alias("n")).filter("n > 1").select("token", "h")
     far = each.join(twice, ["token", "h"]).select("rid", "start", (F.col("start") + length).alias("end"))
     return found.filter("end IS NOT NULL").select("rid", "start", "end").unionByName(far)
@@ -196,14 +206,14 @@ def _kept(t: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, t[at:]])
 
 
-def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def marked(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """docs as the struct `row`, its bytes t and the list `runs` of what repeats."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("t"))
-    found = repeats(rows, length).groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    found = repeats(rows, length, most).groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
     return rows.join(found, "rid", "left")
 
 
-def remaining(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remaining(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of each row; kept is what remains, in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +225,7 @@ def remaining(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    own = marked(docs.select(F.col("doc_id").cast("long"), "text"), length)
+    own = marked(docs.select(F.col("doc_id").cast("long"), "text"), length, most)
     return own.select("row.doc_id", "t", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -6,8 +6,8 @@ suffixes mostly share theirs, so a document is sent as segments (the bytes of co
 token), not suffix by suffix.  Spark samples splitters and range-partitions the segments by token;
 a bucket is sorted by token and, within a token, its suffixes by a hash of their first `length`
 bytes, so that equal ones are neighbours.  A token that may lie on both sides of a bucket's boundary, or that has more than
-`most` bytes, is also compared across buckets: what a bucket finds is settled there, and one suffix of each text goes on, to be counted by an
-ordinary aggregation with partial sums.
+`most` bytes, is also compared across buckets: what a bucket finds is settled there, and one suffix of each text goes on,
+packed in blocks by the range of its hash; the ranges are as many as leave about RANGE suffixes to each.
 So a passage that a third of all documents share meets in no single task.
 
 Texts are UTF-8 bytes; matches never cross documents; overlaps count; strings are judged on the input.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, pieces
 
-LENGTH, GRAM, MOST = 400, 32, 8 << 20
+LENGTH, GRAM, MOST, RANGE = 400, 32, 8 << 20, 1 << 17
 
 _RNG = np.random.default_rng(20)
 _BYTES = _RNG.integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -35,6 +35,7 @@ _STEP = np.uint64(0xD1342543DE82EF95)
 
 SEGMENTS = "token long, rid long, start long, bytes binary"
 FOUND = "token long, rid long, start long, end long, bytes binary, skip binary"
+BLOCKS = "part long, token binary, h binary, rid binary, start binary"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -172,19 +173,60 @@ def repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFram
     found = cut(sent.mapInArrow(_bucket(length, most), FOUND))
     open_ = found.filter("bytes IS NOT NULL")
 
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = _bits(open_.agg(F.sum(F.length("bytes"))).first()[0] or 0)
+    far = open_.select("token", "rid", "start", "bytes", "skip").mapInArrow(_blocks(length, bits), BLOCKS)
+    far = far.repartition("part").sortWithinPartitions("part").mapInArrow(_across(length), "rid long, start long, end long")
+    return found.filter("end IS NOT NULL").select("rid", "start", "end").unionByName(far)
+
+
+def _bits(suffixes: int) -> int:
+    """The ranges of hashes, as a power of two, that leave about RANGE suffixes to each."""
+    return max(4, (suffixes // RANGE).bit_length())
+
+
+def _blocks(length: int, bits: int):
+    """Segments to compare across buckets -> their suffixes, packed by the range that a suffix's hash falls in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "bytes", 1 << 18):
             h = _hashes(b.column("bytes").to_pylist(), length)
             at = [np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8), count=len(y)) == 0) for x, y in zip(b.column("skip").to_pylist(), h)]
-            h = [x[k] for x, k in zip(h, at)]
-            k, at = np.repeat(np.arange(len(h)), [len(x) for x in h]), np.concatenate(at)
+            k = np.repeat(np.arange(len(h)), [len(x) for x in at])
+            h, at = np.concatenate([x[i] for x, i in zip(h, at)]), np.concatenate(at)
             token, rid, start = (b.column(c).to_numpy()[k] for c in ("token", "rid", "start"))
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.concatenate(h).view(np.int64)), pa.array(rid), pa.array(start + at)], ["token", "h", "rid", "start"])
+            part = (h >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            packed = [np.split(x[order], first[1:]) for x in (token, h.view(np.int64), rid, start + at)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[first]), *(pa.array([y.tobytes() for y in x], pa.binary()) for x in packed)], ["part", "token", "h", "rid", "start"])
 
-    each = open_.select("token", "rid", "start", "bytes", "skip").mapInArrow(exploded, "token long, h long, rid long, start long")
-    twice = each.groupBy("token", "h").agg(F.count("*").alias("n")).filter("n > 1").select("token", "h")
-    far = each.join(twice, ["token", "h"]).select("rid", "start", (F.col("start") + length).alias("end"))
-    return found.filter("end IS NOT NULL").select("rid", "start", "end").unionByName(far)
+    return run
+
+
+def _across(length: int):
+    """Blocks, those of one range together -> the suffixes that another equals."""
+
+    def compared(group: list[tuple[bytes, ...]]) -> pa.RecordBatch:
+        token, h, rid, start = (np.frombuffer(b"".join(x), np.int64) for x in zip(*group))
+        order = np.lexsort((token, h))
+        same = (h[order[1:]] == h[order[:-1]]) & (token[order[1:]] == token[order[:-1]])
+        at = order[np.r_[False, same] | np.r_[same, False]]
+        return pa.RecordBatch.from_arrays([pa.array(rid[at]), pa.array(start[at]), pa.array(start[at] + length)], ["rid", "start", "end"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, []
+        for b in batches:
+            for part, *block in zip(*(c.to_pylist() for c in b.columns)):
+                if part != now and group:
+                    yield compared(group)
+                    group = []
+                now = part
+                group.append(tuple(block))
+        if group:
+            yield compared(group)
+
+    return run
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

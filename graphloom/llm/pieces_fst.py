@@ -8,7 +8,8 @@ is found left to right.  Equal weights go to fewer pieces, then to the longer
 last piece.
 
 No piece of the vocabulary has U+2581 after another character, so every path
-passes through the state before each space that follows a word, and the shortest path of a
+passes through the state before each space that follows a word, as it does through those
+around a character that is in no piece, and the shortest path of a
 text is made of those of its words; the compiler checks this and otherwise takes a
 text as one word.  Paths of words are kept in a table of bounded size.
 
@@ -24,6 +25,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from graphloom.llm.common import pieces
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 
 
 class Transducer:
@@ -53,10 +56,13 @@ class Transducer:
             at = self.trie
             for c in self.text[i]:
                 at = at.setdefault(c, {})
-            at[""] = i
+            at[""] = (i, self.weight[i])
         self.splits = not any(MARK in self.text[i].lstrip(MARK) for i in usual)
-        self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if self.splits else r"(?s:.+)")
-        self.known: dict[str, tuple[tuple[int, ...], float]] = {}
+        inner = "".join(map(re.escape, sorted({c for i in usual for c in self.text[i]} - {MARK})))
+        self.words = re.compile(f"{MARK}*[{inner}]+|{MARK}+|[^{MARK}{inner}]+" if self.splits else r"(?s:.+)")
+        self.known = Known(self.path)
+        self.raw = [bytes([self.value[i]]) if i in self.value else self.text[i].encode() for i in range(n)]
+        self.is_byte = np.isin(np.arange(n), list(self.value))
 
     @staticmethod
     def normalise(text: str) -> str:
@@ -64,55 +70,59 @@ class Transducer:
 
     def path(self, word: str) -> tuple[tuple[int, ...], float]:
         """The ids and the weight of the shortest path of a normalised text."""
-        n = len(word)
-        best: list = [None] * (n + 1)  # (weight, pieces, start, ids)
-        best[0] = (0.0, 0, 0, ())
+        n, trie = len(word), self.trie
+        weight, count, start = [0.0] + [inf] * n, [0] * (n + 1), [0] * (n + 1)
+        arc: list[tuple[int, ...]] = [()] * (n + 1)
         for s in range(n):
-            w, k, _, _ = best[s]
-            at, e, one = self.trie, s, False
-            while e < n and (at := at.get(word[e])) is not None:
-                e += 1
-                if (i := at.get("")) is not None:
-                    one |= e == s + 1
-                    new = (w + self.weight[i], k + 1, s, (i,))
-                    if best[e] is None or new[:3] < best[e][:3]:
-                        best[e] = new
-            if not one:
+            w, k = weight[s], count[s] + 1
+            if "" not in trie.get(word[s], ()):
                 raw = word[s].encode("utf-8", "surrogatepass")
-                new = (w + self.dear * len(raw), k + len(raw), s, tuple(self.byte[b] for b in raw))
-                if best[s + 1] is None or new[:3] < best[s + 1][:3]:
-                    best[s + 1] = new
+                new, k_raw, e = w + self.dear * len(raw), k - 1 + len(raw), s + 1
+                if new < weight[e] or new == weight[e] and k_raw < count[e]:
+                    weight[e], count[e], start[e], arc[e] = new, k_raw, s, tuple(self.byte[b] for b in raw)
+            at = trie
+            for e in range(s + 1, n + 1):
+                if (at := at.get(word[e - 1])) is None:
+                    break
+                if "" in at:
+                    i, cost = at[""]
+                    new = w + cost
+                    if new < weight[e] or new == weight[e] and k < count[e]:  # s rises, so of equals the longest last piece is there
+                        weight[e], count[e], start[e], arc[e] = new, k, s, (i,)
         ids, e = [], n
         while e:
-            ids.append(best[e][3])
-            e = best[e][2]
-        return tuple(i for x in reversed(ids) for i in x), best[n][0]
+            ids.append(arc[e])
+            e = start[e]
+        return tuple(i for x in reversed(ids) for i in x), weight[n]
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, float]:
+        """The ids, as 32-bit integers, and the weight of a text's shortest path."""
+        known = self.known
+        paths = [known[w] for w in self.words.findall(self.normalise(text or ""))]
+        return np.fromiter(chain.from_iterable([p[0] for p in paths]), "<i4"), sum([p[1] for p in paths], 0.0)
 
     def encode(self, text: str | None) -> tuple[list[int], float]:
-        known, ids, total = self.known, [], 0.0
-        for word in self.words.findall(self.normalise(text or "")):
-            if (found := known.get(word)) is None:
-                found = self.path(word)
-                if len(word) < 100:
-                    if len(known) >= KEPT_WORDS:
-                        known.clear()
-                    known[word] = found
-            ids += found[0]
-            total += found[1]
-        return ids, total
+        ids, weight = self(text)
+        return ids.tolist(), weight
 
     def decode(self, ids: list[int]) -> str:
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.value:
-                raw.append(self.value[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.text[i])
-        out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ").removeprefix(" ")
+        """Pieces and byte fallback are put together as bytes; what then isn't UTF-8 becomes U+FFFD."""
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ")
+
+
+class Known(dict):
+    """Shortest paths of words by word, found when first asked for; a table of bounded size."""
+
+    def __init__(self, path) -> None:
+        self.path = path
+
+    def __missing__(self, word: str) -> tuple[tuple[int, ...], float]:
+        found = self.path(word)
+        if len(word) < 100:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = found
+        return found
 
 
 @cache
@@ -141,9 +151,8 @@ def digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for b in pieces(batches, "text"):
             rows = []
             for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids, w = t.encode(text)
-                a = np.array(ids, "<i4")
-                rows.append((d, len(ids), int(np.isin(a, list(t.value)).sum()), round(w, 3), hashlib.sha256(a.tobytes()).hexdigest(), t.decode(ids) == (text or "").replace(MARK, " ")))
+                ids, w = t(text)
+                rows.append((d, len(ids), int(t.is_byte[ids].sum()), round(w, 3), hashlib.sha256(ids.tobytes()).hexdigest(), t.decode(ids.tolist()) == (text or "").replace(MARK, " ")))
             names = ["doc_id", "n_ids", "n_byte_ids", "weight", "ids_sha256", "round_trip"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)

@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import pieces_fst, quality, simhash, suffixes, tiling
+from graphloom.llm import jaccard, pieces_fst, quality, suffixes, tiling
 from graphloom.llm.common import shared_dir, table
 
 
@@ -20,8 +20,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash over five-word shingles; similarity is the share of equal fingerprint bits, far above 0.8 at the threshold."""
-    return simhash.keep_one(docs, shingle=5)
+    """Sets of five-word XXH64 shingles, the features of SimHash, at a Jaccard similarity of 0.8 or more: there fingerprints
+    often differ in too many bits for anchors, so the sets are joined by prefixes and checked whole."""
+    return jaccard.keep_one(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

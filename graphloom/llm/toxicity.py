@@ -3,8 +3,9 @@
 The kernel of two words is the cosine of their gap-weighted subsequences: every triple of letters within `span` characters counts
 DECAY ** (characters spanned), so inserted characters and gaps cost a little, not everything.  Landmarks are
 words; the kernel to them, whitened by the landmarks' own kernel, is a word's feature vector (the cosine's POWER-th power, a kernel too).  The machine is trained on
-words of labelled sentences: all words of clean documents are clean; of a toxic document, the sentences count that hold
-words found in toxic documents much oftener than chance allows, and those words are toxic.  A
+words of labelled sentences: stems are words and their beginnings; those that toxic documents hold oftener than chance
+allows among so many, and clean ones hardly ever, are toxic, however rare beside others, and so are the words that
+have one and are oftener in toxic documents than in clean ones.  All other words of clean documents are clean.  A
 sentence scores as its worst word, a document as its worst sentence, mapped to 0..1 by a logistic curve fitted to
 the training documents.
 
@@ -43,16 +44,18 @@ class Settings:
     landmarks: int = 48  #: of each kind, toxic and frequent clean words
     span: int = 5
     longest: int = 24
-    share: float = 0.25  #: of the largest gain that a word's must have
-    surprise: float = 1.0  #: gain over chance from which a word speaks for its sentence
+    stem: int = 4  #: letters of the shortest beginning
+    purity: float = 0.9  #: of a toxic stem: its rate in toxic documents, of the sum of its rates in both kinds
+    surprise: float = 1.0  #: gain over chance from which a stem is toxic
+    rounds: int = 4  #: of training, each with the clean documents' worst words of those before
+    boost: float = 30.0  #: weight of a word that is a clean document's worst
     steps: int = 300
     penalty: float = 3e-3
 
 
 _SPLIT = re.compile(r"\S+")
-_EDGE = ".,;:!?…\"'()[]{}«»“”‘’|<>*_~`"
+_EDGE = ".,;:!?…\"'()[]{}«»“”‘’|<>*_~`#$%&"
 _SPACED = re.compile(r"(?<!\S)(?:\w[\s.\-_*]{1,2}){2,}\w(?![^\s.,;:!?])")
-_SENTENCE = re.compile(r"[.!?…]+\s|\n")
 
 
 def words(text: str) -> set[str]:
@@ -183,31 +186,61 @@ def _surprise(in_bad: Counter, in_good: Counter, n_bad: int, n_good: int) -> dic
     return out
 
 
+def stems(word: str, least: int) -> list[str]:
+    """The word, with a mark of its end, and its beginnings of `least` letters or more."""
+    return [word + "$", *(word[:k] for k in range(least, len(word) + 1))]
+
+
+def toxic_stems(bad: list[set[str]], good: list[set[str]], s: Settings) -> dict[str, float]:
+    """The stems that speak for a toxic text; where none is beyond chance, the one with the largest gain."""
+    in_bad = Counter(x for d in bad for x in {x for w in d for x in stems(w, s.stem)})
+    known = {x for x, n in in_bad.items() if n > 1} or set(in_bad)
+    of = {w: known.intersection(stems(w, s.stem)) for w in set().union(*good)}
+    in_good = Counter(x for d in good for x in set().union(*(of[w] for w in d)))
+    odd = _surprise(in_bad, in_good, len(bad), len(good))
+    pure = {x: g for x, g in odd.items() if in_bad[x] * len(good) * (1 - s.purity) >= s.purity * in_good[x] * len(bad)}
+    least = min(s.surprise, max(pure.values(), default=0.0))
+    return {x: g for x, g in pure.items() if g >= least}
+
+
+def _landmarks(mined: dict[str, float], toxic: dict[str, set[str]], in_bad: Counter, most: int) -> list[str]:
+    """Toxic words, in turn the most frequent not yet taken of each stem that no stem of larger gain overlaps."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(toxic, key=lambda w: (-in_bad[w], w)):
+        by.setdefault(min(toxic[w], key=lambda x: (-mined[x], -len(x), x)), []).append(w)
+    queues, out = [by[x] for x in sorted(by, key=lambda x: (-mined[x], x))], []
+    for k in range(max(map(len, queues), default=0)):
+        out += [q[k] for q in queues if k < len(q)]
+    return out[:most]
+
+
 def fit(rows: list[tuple[str, int]], s: Settings = Settings()) -> Machine | None:
     """A machine fitted to texts and labels."""
     bad, good = [t for t, y in rows if y == 1 and t], [t for t, y in rows if y == 0 and t]
     if not bad or not good:
         return None
     own = lambda t: {w for w in words(t) if len(w) <= s.longest}
-    sentences = [[c for c in map(own, _SENTENCE.split(t)) if c] for t in bad]
-    in_bad, in_good = Counter(w for d in sentences for w in set().union(*d)), Counter(w for t in good for w in own(t))
-    odd = _surprise(in_bad, in_good, len(bad), len(good))
-    ranked = sorted(odd, key=lambda w: (-odd[w], w))
-    least = max(min(s.surprise, odd[ranked[0]]), s.share * odd[ranked[0]]) if ranked else 0.0
-    likely = [w for w in ranked[: s.landmarks] if odd[w] >= least]
-    often = [w for w, _ in sorted(in_good.items(), key=lambda x: (-x[1], x[0])) if w not in set(likely)][: s.landmarks // 2]
+    bad_words, good_words = list(map(own, bad)), list(map(own, good))
+    in_bad, in_good = Counter(w for d in bad_words for w in d), Counter(w for d in good_words for w in d)
+    mined = toxic_stems(bad_words, good_words, s)
+    toxic = {w: x for w, n in in_bad.items() if n * len(good) > in_good[w] * len(bad) and (x := mined.keys() & set(stems(w, s.stem)))}
+    likely = _landmarks(mined, toxic, in_bad, s.landmarks)
+    often = [w for w, _ in sorted(in_good.items(), key=lambda x: (-x[1], x[0])) if w not in toxic][: s.landmarks // 2]
     if not likely or not often:
         return None
-    kernel = Kernel(likely + often, s)
-    toxic = {w for w in ranked if odd[w] >= least}
     rest = sorted((w for w in in_good if w not in toxic), key=lambda w: (zlib.crc32(w.encode()), w))
-    clean = rest[: s.clean_words]
-    # a toxic document's sentences that hold words that speak against it; their other words say nothing
-    picked = Counter(w for d in sentences for c in d for w in c & toxic)
-    x = np.vstack([kernel.features(list(picked)), kernel.features(clean)])
-    y = np.r_[np.ones(len(picked)), -np.ones(len(clean))]
-    count = np.array([*picked.values(), *(in_good[w] for w in clean)], float)
-    machine = Machine(kernel, *_svm(x, y, count, s))
+    clean, near = rest[: s.clean_words], Counter()
+    for _ in range(s.rounds):
+        hard = [w for w, _ in sorted(near.items(), key=lambda x: (-x[1], x[0]))]
+        kernel = Kernel(list(dict.fromkeys(likely + often + hard[: s.landmarks])), s)
+        own_clean = list(dict.fromkeys(clean + hard))
+        x = np.vstack([kernel.features(list(toxic)), kernel.features(own_clean)])
+        y = np.r_[np.ones(len(toxic)), -np.ones(len(own_clean))]
+        count = np.array([*(in_bad[w] for w in toxic), *(in_good[w] + s.boost * near[w] for w in own_clean)], float)
+        machine = Machine(kernel, *_svm(x, y, count, s))
+        # a clean document scores as its worst word, so those words weigh more in the next round
+        margin = dict(zip(rest, (kernel.features(rest) @ machine.weight + machine.bias).tolist()))
+        near += Counter(max(c, key=lambda w: (margin[w], w)) for d in good_words if (c := d & margin.keys()))
     margins = np.r_[machine.worst(bad), machine.worst(good)]
     y = np.r_[np.ones(len(bad)), np.zeros(len(good))]
     _curve(machine, margins, y)

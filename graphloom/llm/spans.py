@@ -1,15 +1,17 @@
 """Substring dedup by sliding sentence spans.
 
 Every run of `size` consecutive sentences is hashed and counted over all
-documents; a run that occurs again has one first occurrence (the smallest doc_id,
-then the earliest place), and every sentence of its other occurrences goes.
+documents, and so is every shorter run that has LEAST words or more or is a whole text; a run that
+occurs again has one first occurrence (the smallest doc_id,
+then the earliest place), and every sentence of its other occurrences goes.  A run whose two runs of one sentence
+fewer are counted themselves is left out: where it repeats, they do, and they cover it.  What repeats only as parts of sentences stays.
 
 Sentences end after . ! ? … (and closing marks) before white space, or at a line
 feed; runs are compared by their text with white space folded and A-Z lower-cased.
 Spans are told apart by 128 bits of hash.
 
 Defined cases: null and empty texts have no sentences; a text with fewer sentences
-than a span has none; a null doc_id comes after every other; rows that repeat
+than a span is one span; a null doc_id comes after every other; rows that repeat
 doc_id and text are one occurrence, so the first document stays in all of them; an empty table gives
 an empty result.  Columns other than doc_id and text are ignored.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, pieces
 
-SIZE = 3
+SIZE, LEAST = 3, 10
 SPANS = "doc_id long, version binary, pos int, h binary"
 
 
@@ -48,11 +50,17 @@ def _key(text: str) -> bytes:
 
 
 def _spans(texts: list[str | None], size: int) -> Iterator[tuple[int, int, bytes]]:
+    """(text, place, hash) of each run; a place is the first sentence times size + 1, plus the number of sentences."""
     for k, t in enumerate(texts):
-        s = sentences(t) if t else []
-        keys = [_key(t[a:b]) for a, b in s]
-        for i in range(len(s) - size + 1):
-            yield k, i, hashlib.blake2b(b"\n".join(keys[i : i + size]), digest_size=16).digest()
+        keys = [_key(t[a:b]) for a, b in sentences(t)] if t else []
+        upto = np.cumsum([0, *(x.count(b" ") + 1 for x in keys)]).tolist()
+        for n in range(1, size + 1):
+            for i in range(len(keys) - n + 1):
+                if n < size and upto[i + n] - upto[i] < LEAST and n < len(keys):
+                    continue
+                if n > 1 and upto[i + n - 1] - upto[i] >= LEAST and upto[i + n] - upto[i + 1] >= LEAST:
+                    continue
+                yield k, i * (size + 1) + n, hashlib.blake2b(b"\n".join(keys[i : i + n]), digest_size=16).digest()
 
 
 def _version(text: str | None) -> bytes:
@@ -93,7 +101,8 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 s = sentences(t) if t else []
                 out = np.zeros(len(s), bool)
                 for p in places or []:
-                    out[p : p + size] = True
+                    i, run_size = divmod(p, size + 1)
+                    out[i : i + run_size] = True
                 texts.append("".join(t[a:e] for (a, e), x in zip(s, out) if not x) if s else t)
                 n.append(len(s)), gone.append(int(out.sum()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_sentences", "n_removed"])

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm import jaccard, pieces_fst, quality, suffixes, tiling
 from graphloom.llm.common import shared_dir, table
 
+#: Bytes from which a string that repeats goes; at sf0.01 over 99.6 % of the runs of 50 words have as many, in each language.
+PASSAGE = 200
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
@@ -26,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffixes.without_repeats(docs)
+    return suffixes.without_repeats(docs, PASSAGE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,17 +1,22 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-The vocabulary is compiled once: the normaliser (a dummy space in front, spaces as
-U+2581), the pieces as a trie whose arcs weigh minus a piece's score, and byte
-fallback as arcs that are dearer than any piece.  Composed with an input it is
-a lattice, in which the tropical-semiring shortest path (least total weight)
-is found left to right.  Equal weights go to fewer pieces, then to the longer
-last piece.
+Three machines are compiled from the vocabulary once:
+
+* the normaliser, whose first state writes a dummy space before any text and whose second one maps spaces to U+2581;
+* the pieces, a trie whose arcs weigh minus a piece's score, with byte fallback as arcs that are dearer than any piece;
+* the neighbours, an acceptor whose states are pieces: after one piece another may follow if merging
+  the characters of both, by the vocabulary's order of merges, ends in just these two.  Only paths that merging leaves pass it.
+
+An input is composed with them state by state (place, last piece).  The path of the tropical semiring's
+least weight is looked for depth first, longest arcs first, and states that reach no end are not entered again.
+The vocabulary is one of merges: the acceptor leaves a single path through pieces, which is the library's own encoding,
+so the first one found is the shortest.
 
 No piece of the vocabulary has U+2581 after another character, so every path
 passes through the state before each space that follows a word, as it does through those
 around a character that is in no piece, and the shortest path of a
 text is made of those of its words; the compiler checks this and otherwise takes a
-text as one word.  Paths of words are kept in a table of bounded size.
+text as one word.  Paths of words are kept in a table of bounded size, and long words are read without recursion.
 
 Defined cases: null and empty texts have no ids and decode to the empty text;
 lone control, unassigned and any other characters outside the vocabulary are bytes; very long
@@ -22,11 +27,11 @@ an empty table gives an empty result.  Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
-from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +43,56 @@ from graphloom.llm.common import pieces
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KEPT_WORDS = 400_000
+KEPT_WORDS, KEPT_PAIRS = 400_000, 1_000_000
+
+
+class Normaliser:
+    """Two states: the first writes the dummy space, the second maps characters."""
+
+    def __init__(self) -> None:
+        self.first, self.arcs = MARK, {" ": MARK}
+
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        for x, y in self.arcs.items():
+            text = text.replace(x, y)
+        return self.first + text
+
+
+class Neighbours:
+    """Whether merging leaves two pieces apart; a table of bounded size."""
+
+    def __init__(self, weight: dict[str, float]) -> None:
+        self.weight, self.known = weight, {}
+
+    def merged(self, text: str) -> list[str]:
+        """What is left of the characters when the best pair of neighbours, the leftmost of equals, is merged again and again."""
+        part = list(text)
+        after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
+        heap = [(self.weight[x], i, x) for i in range(len(part) - 1) if (x := part[i] + part[i + 1]) in self.weight]
+        heapq.heapify(heap)
+        while heap:
+            _, i, x = heapq.heappop(heap)
+            j = after[i]
+            if not part[i] or j >= len(part) or part[i] + part[j] != x:
+                continue
+            part[i], part[j] = x, ""
+            k = after[i] = after[j]
+            if k < len(part):
+                before[k] = i
+                if (y := x + part[k]) in self.weight:
+                    heapq.heappush(heap, (self.weight[y], i, y))
+            if (k := before[i]) >= 0 and (y := part[k] + x) in self.weight:
+                heapq.heappush(heap, (self.weight[y], k, y))
+        return [x for x in part if x]
+
+    def __call__(self, a: str, b: str) -> bool:
+        if (ok := self.known.get((a, b))) is None:
+            if len(self.known) >= KEPT_PAIRS:
+                self.known.clear()
+            ok = self.known[a, b] = self.merged(a + b) == [a, b]
+        return ok
 
 
 class Transducer:
@@ -49,51 +103,64 @@ class Transducer:
         self.byte = {int(self.text[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.value = {i: b for b, i in self.byte.items()}
         usual = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.weight = {i: -sp.get_score(i) for i in usual}
+        self.id = {self.text[i]: i for i in usual}
+        self.weight = {self.text[i]: -sp.get_score(i) for i in usual}
         self.dear = max(self.weight.values()) + 10.0  # of one byte
+        self.normalise, self.follows = Normaliser(), Neighbours(self.weight)
+        self.longest = max(map(len, self.weight))
         self.trie: dict = {}
-        for i in usual:
-            at = self.trie
-            for c in self.text[i]:
-                at = at.setdefault(c, {})
-            at[""] = (i, self.weight[i])
-        self.splits = not any(MARK in self.text[i].lstrip(MARK) for i in usual)
-        inner = "".join(map(re.escape, sorted({c for i in usual for c in self.text[i]} - {MARK})))
+        for x in self.weight:
+            if self.follows.merged(x) == [x]:
+                at = self.trie
+                for c in x:
+                    at = at.setdefault(c, {})
+                at[""] = x
+        self.splits = not any(MARK in x.lstrip(MARK) for x in self.weight)
+        inner = "".join(map(re.escape, sorted({c for x in self.weight for c in x} - {MARK})))
         self.words = re.compile(f"{MARK}*[{inner}]+|{MARK}+|[^{MARK}{inner}]+" if self.splits else r"(?s:.+)")
         self.known = Known(self.path)
         self.raw = [bytes([self.value[i]]) if i in self.value else self.text[i].encode() for i in range(n)]
         self.is_byte = np.isin(np.arange(n), list(self.value))
 
-    @staticmethod
-    def normalise(text: str) -> str:
-        return MARK + text.replace(" ", MARK) if text else ""
+    def _arcs(self, word: str, s: int) -> list[str]:
+        """The pieces from s on, the shortest first; a character in no piece is by itself."""
+        at, out = self.trie, []
+        for c in word[s : s + self.longest]:
+            if c not in at:
+                break
+            at = at[c]
+            if "" in at:
+                out.append(at[""])
+        return out or [word[s]]
 
     def path(self, word: str) -> tuple[tuple[int, ...], float]:
         """The ids and the weight of the shortest path of a normalised text."""
-        n, trie = len(word), self.trie
-        weight, count, start = [0.0] + [inf] * n, [0] * (n + 1), [0] * (n + 1)
-        arc: list[tuple[int, ...]] = [()] * (n + 1)
-        for s in range(n):
-            w, k = weight[s], count[s] + 1
-            if "" not in trie.get(word[s], ()):
-                raw = word[s].encode("utf-8", "surrogatepass")
-                new, k_raw, e = w + self.dear * len(raw), k - 1 + len(raw), s + 1
-                if new < weight[e] or new == weight[e] and k_raw < count[e]:
-                    weight[e], count[e], start[e], arc[e] = new, k_raw, s, tuple(self.byte[b] for b in raw)
-            at = trie
-            for e in range(s + 1, n + 1):
-                if (at := at.get(word[e - 1])) is None:
-                    break
-                if "" in at:
-                    i, cost = at[""]
-                    new = w + cost
-                    if new < weight[e] or new == weight[e] and k < count[e]:  # s rises, so of equals the longest last piece is there
-                        weight[e], count[e], start[e], arc[e] = new, k, s, (i,)
-        ids, e = [], n
-        while e:
-            ids.append(arc[e])
-            e = start[e]
-        return tuple(i for x in reversed(ids) for i in x), weight[n]
+        n, dead, place, taken, follows = len(word), set(), 0, [], self.follows
+        open_ = [self._arcs(word, 0)] if n else []
+        while place < n:
+            if not open_[-1]:  # no piece here leads to the end
+                open_.pop()
+                x = taken.pop()
+                dead.add((place, x))
+                place -= len(x)
+                continue
+            x = open_[-1].pop()
+            if taken and not follows(taken[-1], x) or dead and (place + len(x), x) in dead:
+                continue
+            taken.append(x)
+            place += len(x)
+            if place < n:
+                open_.append(self._arcs(word, place))
+        ids, weight = [], 0.0
+        for x in taken:
+            if x in self.id:
+                ids.append(self.id[x])
+                weight += self.weight[x]
+            else:
+                raw = x.encode("utf-8", "surrogatepass")
+                ids += [self.byte[b] for b in raw]
+                weight += self.dear * len(raw)
+        return tuple(ids), weight
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, float]:
         """The ids, as 32-bit integers, and the weight of a text's shortest path."""

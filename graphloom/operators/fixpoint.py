@@ -13,7 +13,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written to the cluster's checkpoint folder, without its lineage."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint()
 
 
@@ -36,12 +39,19 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], compact: i
             known = cut(known)
 
 
-def closure(base: DataFrame, sub: str, sup: str, most: int = 64) -> DataFrame:
-    """(sub, sup, dist): the reflexive and transitive closure of a forest, given as a row for each node; most bounds its depth."""
-    parents = base.select(F.col(sub).alias("_at"), F.col(sup).alias("_up"))
-    seed = base.select(F.col(sub).alias("sub"), F.col(sub).alias("sup"), F.lit(0).alias("dist"))
-
-    def up(new: DataFrame) -> DataFrame:
-        return new.join(parents, new["sup"] == parents["_at"]).filter(F.col("_up").isNotNull() & (F.col("dist") < most)).select("sub", F.col("_up").alias("sup"), (F.col("dist") + 1).alias("dist"))
-
-    return fixpoint(seed, up)
+def closure(base: DataFrame, sub: str, sup: str) -> DataFrame:
+    """(sub, sup, dist): the reflexive and transitive closure of a forest, given as a row for each node.  Each round joins the pairs found so
+    far with themselves, so it doubles the distance: a forest of depth d takes about log2(d) rounds.  A cycle raises an error."""
+    n = base.count()
+    pairs = cut(base.filter(F.col(sup).isNotNull()).select(F.col(sub).alias("sub"), F.col(sup).alias("sup"), F.lit(1).alias("dist")).distinct())
+    known, far = pairs, pairs  # far: pairs at the greatest distance that is a power of two
+    while not far.isEmpty():
+        if far.agg(F.max("dist")).first()[0] > n:
+            raise ValueError(f"{sub} and {sup} make a cycle")
+        step = far.select(F.col("sub").alias("_at"), F.col("sup").alias("_up"), F.col("dist").alias("_dist"))
+        more = cut(known.join(step, F.col("sup") == F.col("_at")).select("sub", F.col("_up").alias("sup"), (F.col("dist") + F.col("_dist")).alias("dist")))
+        reach = far.agg(F.max("dist")).first()[0]
+        known = known.unionByName(more)
+        far = cut(more.filter(F.col("dist") == 2 * reach))
+    own = base.select(F.col(sub).alias("sub"), F.col(sub).alias("sup"), F.lit(0).alias("dist")).distinct()
+    return cut(known.unionByName(own))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -24,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         now = sc._jsc.sc().getCheckpointDir()
+        if now.isEmpty() and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = now.get() if now.isDefined() else "file://" + tempfile.mkdtemp(prefix="graphloom-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
@@ -36,6 +40,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are checkpointed: it does so when the driver's garbage is collected, which
+    by itself happens rarely."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: What a plan may hold whose rows come in the same order whenever it runs.
+_STEADY = {"ColumnarToRow", "FileScan", "Project", "Filter", "Scan", "LocalTableScan"}
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, if it only reads and projects stored rows, so that row numbers are the same whenever it is run; else a checkpoint of it."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    steps = {m[1] for x in plan.splitlines() if (m := re.match(r"[\s:+\-|]*(?:\*\(\d+\) )?(\w+)", x))}
+    return df if steps <= _STEADY else cut(df)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row: a lambda variable is never inlined by the optimizer."""
     return F.transform(F.array(value), body).getItem(0)

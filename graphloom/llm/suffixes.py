@@ -1,14 +1,16 @@
 """Suffix-array dedup: removal of every byte covered by a string of `length` bytes that also starts elsewhere.
 
-Suffixes that can have such a string in common are brought together by their leading token: of the `length` bytes that
-a suffix begins with, the smallest hash among all runs of GRAM bytes.  Equal strings have equal tokens, and neighbouring
-suffixes mostly share theirs, so a document is sent as segments (the bytes of consecutive suffixes with one
-token), not suffix by suffix.  Spark samples splitters and range-partitions the segments by token;
-a bucket is sorted by token and, within a token, its suffixes by a hash of their first `length`
-bytes, so that equal ones are neighbours.  A token that may lie on both sides of a bucket's boundary, or that has more than
-`most` bytes, is also compared across buckets: what a bucket finds is settled there, and one suffix of each text goes on,
-packed in blocks by the range of its hash; the ranges are as many as leave about RANGE suffixes to each.
-So a passage that a third of all documents share meets in no single task.
+Suffixes that can have such a string in common have the same leading token: of the `length` bytes that a suffix begins with, the
+smallest hash among all runs of GRAM bytes.  Neighbouring suffixes mostly share theirs, so a document is a list of
+segments, each the bytes of consecutive suffixes with one token.
+
+1. Segments are counted by token, without their bytes; where a token occurs once, no suffix under it repeats.
+2. Of the others, those with equal bytes (told by token and a 64-bit hash of all bytes) are one class.  All suffixes
+   of a class with two members or more repeat: nothing has to be compared for copies, however many.
+3. Where a token has several classes, one segment of each is sent with its bytes.  Sampled splitters range-partition them by
+   token, and a bucket sorts their suffixes by multikey quicksort, eight bytes a level, so equality is equality of the bytes.
+4. Tokens whose classes have more than `most` bytes would be too much for one bucket.  Their suffixes are compared across
+   buckets, as rows of the first eight bytes and a hash of all, counted before they are shuffled.
 
 Texts are UTF-8 bytes; matches never cross documents; overlaps count; strings are judged on the input.
 Defined cases: null and empty texts have no bytes; a text shorter than `length` keeps all; rows that repeat a text lose all of it,
@@ -22,20 +24,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, pieces
+from graphloom.llm.common import cut, pieces, settled
 
-LENGTH, GRAM, MOST, RANGE = 400, 32, 8 << 20, 1 << 17
+LENGTH, GRAM, MOST, BATCH = 400, 32, 16 << 20, 1 << 20
 
 _RNG = np.random.default_rng(20)
 _BYTES = _RNG.integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0xD1342543DE82EF95)
 
-SEGMENTS = "token long, rid long, start long, bytes binary"
-FOUND = "token long, rid long, start long, end long, bytes binary, skip binary"
-BLOCKS = "part long, token binary, h binary, rid binary, start binary"
+SEGMENTS = "token long, content long, rid long, start long, n long"
+BYTES = "token long, hot boolean, rid long, start long, bytes binary"
+SUFFIXES = "token long, lead long, h long, rid long, start long"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -58,38 +61,42 @@ def rolled(text: np.ndarray, size: int) -> np.ndarray:
 
 
 def segments(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, first suffix, end of suffixes) of the segments of a text that has `length` bytes or more."""
+    """(token, first suffix, end of suffixes) of the segments of a text that has `length` bytes or more.  A segment ends where
+    the first run that hashes to the token leaves the window, so two suffixes of one segment are never equal."""
     gram = min(GRAM, length)
-    low, width, most = rolled(text, gram), 1, length - gram + 1
+    grams, width, most = rolled(text, gram), 1, length - gram + 1
+    low = grams
     while 2 * width <= most:
         low = np.minimum(low[: len(low) - width], low[width:])
         width *= 2
     if most > width:
         low = np.minimum(low[: len(low) - (most - width)], low[most - width :])
-    first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+    first = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (grams[: len(low) - 1] == low[:-1])])
     return low[first].view(np.int64), first, np.r_[first[1:], len(low)]
 
 
-def _sent(docs: DataFrame, length: int) -> DataFrame:
+def _segments(docs: DataFrame, length: int) -> DataFrame:
+    """The segments of docs (rid, t): the hash of their bytes, and how many suffixes they have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for b in pieces(batches, "t", 1 << 20):
-            tokens, rids, starts, parts = [], [], [], []
+            parts, contents = [], []
             for rid, t in zip(b.column("rid").to_pylist(), b.column("t").to_pylist()):
                 if t is None or len(t) < length:
                     continue
                 token, a, e = segments(np.frombuffer(t, np.uint8), length)
-                tokens.append(token), rids.append(np.full(len(a), rid)), starts.append(a)
-                parts += [t[x : y + length - 1] for x, y in zip(a.tolist(), e.tolist())]
+                parts.append((token, np.full(len(a), rid), a, e - a))
+                whole = memoryview(t)
+                contents += [digest(whole[x : y + length - 1]) for x, y in zip(a.tolist(), e.tolist())]
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(rids)), pa.array(np.concatenate(starts)), pa.array(parts, pa.binary())], ["token", "rid", "start", "bytes"])
+                token, rid, start, n = map(np.concatenate, zip(*parts))
+                content = np.array(contents, np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, content, rid, start, n)], ["token", "content", "rid", "start", "n"])
 
     return docs.select("rid", "t").mapInArrow(run, SEGMENTS)
 
 
-def _hashes(parts: list[bytes], length: int) -> list[np.ndarray]:
-    return [rolled(np.frombuffer(p, np.uint8), length) for p in parts]
-
-
 def _runs(again: np.ndarray, length: int) -> list[tuple[int, int]]:
     """The (start, end) covered by the strings that start where again is true."""
     at = np.flatnonzero(again)
@@ -99,134 +106,120 @@ def _runs(again: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(at[np.r_[0, breaks + 1]].tolist(), (at[np.r_[breaks, len(at) - 1]] + length).tolist()))
 
 
-def _compare(group: list[tuple[int, int, bytes]], length: int) -> tuple[list[tuple[int, int, int]], list[np.ndarray]]:
-    """The (rid, start, end) of what repeats among the segments of one token, and by segment the suffixes
-    that another one here equals and stands for."""
-    hashes = _hashes([g[2] for g in group], length)
-    flat = np.concatenate(hashes)
-    order = np.argsort(flat, kind="stable")
-    same = flat[order[1:]] == flat[order[:-1]]
-    again, later = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
-    later[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    again |= later
-    runs, skips, at = [], [], 0
-    for (rid, start, _), h in zip(group, hashes):
-        runs += [(rid, start + a, start + e) for a, e in _runs(again[at : at + len(h)], length)]
-        skips.append(later[at : at + len(h)])
-        at += len(h)
-    return runs, skips
-
-
-def _bucket(length: int, most: int):
-    """Sorted segments of one bucket -> runs that repeat (end set), or segments to compare across buckets (bytes set)."""
+def sorted_repeats(parts: list[bytes], groups: list[int], length: int) -> list[np.ndarray]:
+    """By part, which of its suffixes have their first `length` bytes in common with another suffix of the same group.
+
+    A multikey quicksort of all suffixes at once: each level orders what is still equal by its next eight bytes and drops what is alone.
+    Now and then the rest is compared with the first of its equals as a whole, so that long equal strings need few levels.
+    """
+    text = b"".join(parts) + bytes(8)
+    word = np.ndarray((len(text) - 7,), ">u8", text, 0, (1,))
+    window = np.ndarray((len(text) - length - 7,), f"V{length}", text, 0, (1,)) if len(text) >= length + 8 else None
+    sizes = np.array([len(p) for p in parts])
+    n = np.maximum(0, sizes - length + 1)
+    first = np.cumsum(sizes) - sizes
+    own = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    found = np.zeros(len(text), bool)
+    at, group = own, np.repeat(np.array(groups, np.int64), n)
+    for level, depth in enumerate(range(0, length, 8)):
+        key = word[at + depth].astype(np.uint64)
+        if length - depth < 8:
+            key >>= np.uint64(8 * (8 - length + depth))
+        order = np.lexsort((key, group))
+        at, key, group = at[order], key[order], group[order]
+        new = np.r_[True, (group[1:] != group[:-1]) | (key[1:] != key[:-1])]
+        group = np.cumsum(new) - 1
+        several = np.bincount(group)[group] > 1
+        at, group = at[several], group[several]
+        if level in (1, 5, 13) and len(at):
+            leads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            lead = np.repeat(at[leads], np.diff(np.r_[leads, len(at)]))
+            same = np.concatenate([window[at[i : i + 4096]] == window[lead[i : i + 4096]] for i in range(0, len(at), 4096)])
+            alone = np.add.reduceat(same, leads) < 2
+            same &= ~np.repeat(alone, np.diff(np.r_[leads, len(at)]))
+            found[at[same]] = True
+            at, group = at[~same], group[~same]
+        if not len(at):
+            break
+    found[at] = True
+    return [found[a : a + k] for a, k in zip(first.tolist(), n.tolist())]
+
+
+def _bucket(length: int):
+    """Segments sorted by token -> the runs of them that repeat."""
+
+    def resolved(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        again = sorted_repeats([r[3] for r in rows], [r[0] for r in rows], length)
+        runs = [(rid, start + a, start + e) for (_, rid, start, _), x in zip(rows, again) for a, e in _runs(x, length)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*runs) if runs else [[]] * 3)], ["rid", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["token", "rid", "start", "end", "bytes", "skip"], [pa.int64()] * 4 + [pa.binary()] * 2
-
-        def batch(rows):
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
-
-        out, size, now, group, held, first, across = [], 0, None, [], 0, None, False
-
-        def resolved(across):
-            """The runs found here; across buckets go the segments too, without the suffixes that others here stand for."""
-            if not across and len(group) < 2 and len(group[0][2]) <= length:
-                return []
-            runs, skips = _compare(group, length)
-            rows = [(now, r, a, e, None, None) for r, a, e in runs]
-            if across:
-                rows += [(now, r, s, None, p, np.packbits(k).tobytes()) for (r, s, p), k in zip(group, skips) if not k.all()]
-            return rows
-
+        rows, held = [], 0
         for b in batches:
-            for token, rid, start, part in zip(*(c.to_pylist() for c in b.columns)):
-                if token != now:
-                    if group:
-                        new = resolved(across)
-                        out += new
-                        size += sum(len(x[4] or b"") + 48 for x in new)
-                    first = token if first is None else first
-                    now, group, held, across = token, [], 0, token == first
-                group.append((rid, start, part))
-                held += len(part)
-                if held > most:  # too much for one task: this much is settled, the rest of the token is compared across
-                    across = True
-                    out += resolved(True)
-                    size += held
-                    group, held = [], 0
-                if size > 4 << 20:
-                    if out:
-                        yield batch(out)
-                    out, size = [], 0
-        if group:  # the last token may go on in the next bucket
-            out += resolved(True)
-        if out:
-            yield batch(out)
+            for row in zip(*(b.column(c).to_pylist() for c in ("token", "rid", "start", "bytes"))):
+                if held > BATCH and row[0] != rows[-1][0]:
+                    yield resolved(rows)
+                    rows, held = [], 0
+                rows.append(row)
+                held += len(row[3])
+        if rows:
+            yield resolved(rows)
 
     return run
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
-    """(rid, start, end) of runs of bytes that repeat; docs has rid and t (bytes).  Runs of a row may overlap."""
-    sent = _sent(docs, length).repartitionByRange("token", "rid", "start").sortWithinPartitions("token", "rid", "start")
-    found = cut(sent.mapInArrow(_bucket(length, most), FOUND))
-    open_ = found.filter("bytes IS NOT NULL")
-
-    bits = _bits(open_.agg(F.sum(F.length("bytes"))).first()[0] or 0)
-    far = open_.select("token", "rid", "start", "bytes", "skip").mapInArrow(_blocks(length, bits), BLOCKS)
-    far = far.repartition("part").sortWithinPartitions("part").mapInArrow(_across(length), "rid long, start long, end long")
-    return found.filter("end IS NOT NULL").select("rid", "start", "end").unionByName(far)
-
-
-def _bits(suffixes: int) -> int:
-    """The ranges of hashes, as a power of two, that leave about RANGE suffixes to each."""
-    return max(4, (suffixes // RANGE).bit_length())
-
-
-def _blocks(length: int, bits: int):
-    """Segments to compare across buckets -> their suffixes, packed by the range that a suffix's hash falls in."""
+def _suffixes(length: int):
+    """Segments -> a row for each suffix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "bytes", 1 << 18):
-            h = _hashes(b.column("bytes").to_pylist(), length)
-            at = [np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8), count=len(y)) == 0) for x, y in zip(b.column("skip").to_pylist(), h)]
-            k = np.repeat(np.arange(len(h)), [len(x) for x in at])
-            h, at = np.concatenate([x[i] for x, i in zip(h, at)]), np.concatenate(at)
-            token, rid, start = (b.column(c).to_numpy()[k] for c in ("token", "rid", "start"))
-            part = (h >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            packed = [np.split(x[order], first[1:]) for x in (token, h.view(np.int64), rid, start + at)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[first]), *(pa.array([y.tobytes() for y in x], pa.binary()) for x in packed)], ["part", "token", "h", "rid", "start"])
+            parts = b.column("bytes").to_pylist()
+            h = [rolled(np.frombuffer(p, np.uint8), length) for p in parts]
+            lead = np.concatenate([np.ndarray((len(x),), ">i8", p, 0, (1,)) for p, x in zip(parts, h)]).astype(np.int64)
+            k = np.repeat(np.arange(len(h)), [len(x) for x in h])
+            start = np.concatenate([np.arange(len(x)) for x in h]) + b.column("start").to_numpy()[k]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b.column("token").to_numpy()[k], lead, np.concatenate(h).view(np.int64), b.column("rid").to_numpy()[k], start)], ["token", "lead", "h", "rid", "start"])
 
     return run
 
 
-def _across(length: int):
-    """Blocks, those of one range together -> the suffixes that another equals."""
-
-    def compared(group: list[tuple[bytes, ...]]) -> pa.RecordBatch:
-        token, h, rid, start = (np.frombuffer(b"".join(x), np.int64) for x in zip(*group))
-        order = np.lexsort((token, h))
-        same = (h[order[1:]] == h[order[:-1]]) & (token[order[1:]] == token[order[:-1]])
-        at = order[np.r_[False, same] | np.r_[same, False]]
-        return pa.RecordBatch.from_arrays([pa.array(rid[at]), pa.array(start[at]), pa.array(start[at] + length)], ["rid", "start", "end"])
+def _with_bytes(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
+    """The bytes of chosen segments (token, hot, rid, start, n), from docs (rid, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
-        for b in batches:
-            for part, *block in zip(*(c.to_pylist() for c in b.columns)):
-                if part != now and group:
-                    yield compared(group)
-                    group = []
-                now = part
-                group.append(tuple(block))
-        if group:
-            yield compared(group)
+        for b in pieces(batches, "t", 1 << 20):
+            rows = [(s["token"], s["hot"], rid, s["start"], t[s["start"] : s["start"] + s["n"] + length - 1]) for rid, t, own in zip(*(b.column(c).to_pylist() for c in ("rid", "t", "own"))) for s in own]
+            if rows:
+                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["token", "hot", "rid", "start", "bytes"])
 
-    return run
+    own = chosen.groupBy("rid").agg(F.collect_list(F.struct("token", "hot", "start", "n")).alias("own"))
+    return docs.select("rid", "t").join(own, "rid").mapInArrow(run, BYTES)
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
+    """(rid, start, end) of runs of bytes that repeat; docs has rid and t (bytes), and is read more than once.  Runs of a row may overlap."""
+    every = _segments(docs, length)
+    tokens = every.groupBy("token").agg(F.count("*").alias("k"), F.min("content").alias("lo"), F.max("content").alias("hi"))
+    tokens = cut(tokens.filter("k > 1").select("token", (F.col("lo") < F.col("hi")).alias("mixed")))
+    shared = cut(every.join(tokens.hint("merge"), "token"))
+    copies = cut(shared.groupBy("token", "content").agg(F.count("*").alias("k")).filter("k > 1").select("token", "content"))
+    end = F.col("start") + F.col("n") + (length - 1)
+    whole = shared.join(copies.hint("merge"), ["token", "content"], "left_semi").select("rid", "start", end.alias("end"))
+
+    one = F.min(F.struct("rid", "start", "n")).alias("one")
+    classes = cut(shared.filter("mixed").groupBy("token", "content").agg(one).select("token", "one.*"))
+    large = classes.groupBy("token").agg(F.sum(F.col("n") + (length - 1)).alias("held")).filter(F.col("held") > most).select("token", F.lit(True).alias("hot"))
+    chosen = classes.join(cut(large).hint("merge"), "token", "left").select("token", F.coalesce("hot", F.lit(False)).alias("hot"), "rid", "start", "n")
+    sent = cut(_with_bytes(docs, chosen, length))
+
+    near = sent.filter("NOT hot").repartitionByRange("token").sortWithinPartitions("token")
+    near = near.mapInArrow(_bucket(length), "rid long, start long, end long")
+    apart = sent.filter("hot").mapInArrow(_suffixes(length), SUFFIXES)
+    key = ["token", "lead", "h"]
+    twice = cut(apart.groupBy(*key).agg(F.count("*").alias("k")).filter("k > 1").drop("k"))
+    far = apart.join(twice.hint("merge"), key, "left_semi").select("rid", "start", (F.col("start") + length).alias("end"))
+    return whole.unionByName(near).unionByName(far)
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -250,7 +243,7 @@ def _kept(t: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def marked(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """docs as the struct `row`, its bytes t and the list `runs` of what repeats."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("t"))
+    rows = settled(docs).select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("t"))
     found = repeats(rows, length, most).groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
     return rows.join(found, "rid", "left")
 

@@ -36,7 +36,7 @@ def from_documents(documents: DataFrame, projects: DataFrame | None = None, soun
     else:
         projects = documents.select("assembly", F.col("assembly").alias("name"), F.lit(None).cast("string").alias("path"), F.lit("C#").alias("language")).distinct()
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         rows = csharp.facts(sorted(zip(frame["path"], frame["source"])), key[0], sound_conditional)
         text = lambda v: v if v is None else str(v).lower() if isinstance(v, bool) else str(v)
         out = [(k, json.dumps(list(map(text, r)))) for k in EXTRACTED for r in rows[k]]

@@ -24,23 +24,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, pieces
 
 SIZE, LEAST = 3, 10
-SPANS = "doc_id long, version binary, pos int, h binary"
+SPANS = "doc_id long, version long, pos int, h long, h2 long"
+
+#: A match can begin only where a run of marks does, so long runs are read once.
+_END = re.compile(r"(?<![.!?…])[.!?…]++[\"'»”’)\]]*+(?=\s)|\n")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of each sentence that has more than white space."""
-    out, start = [], 0
-    for m in re.finditer(r"(?:[.!?…]+[\"'»”’)\]]*(?=\s))|\n", text):
-        if text[start : m.end()].strip():
-            out.append((start, m.end()))
-            start = m.end()
-    if text[start:].strip():
+    out, start, at, solid = [], 0, 0, False
+    for m in _END.finditer(text):
+        solid = solid or not text[at : m.end()].isspace()
+        at = m.end()
+        if solid:
+            out.append((start, at))
+            start, solid = at, False
+    if solid or text[at:].strip():
         out.append((start, len(text)))
     return out
 
@@ -63,36 +69,43 @@ def _spans(texts: list[str | None], size: int) -> Iterator[tuple[int, int, bytes
                 yield k, i * (size + 1) + n, hashlib.blake2b(b"\n".join(keys[i : i + n]), digest_size=16).digest()
 
 
-def _version(text: str | None) -> bytes:
-    return hashlib.blake2b((text or "").encode(), digest_size=8).digest()
+def _version(text: str | None) -> int:
+    return xxhash.xxh3_64_intdigest((text or "").encode()) - (1 << 63)
 
 
 def repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, version, places): of each text, the places of its non-first repeated spans."""
+    """(doc_id, version, places): of each text, the places of its non-first repeated spans.
+
+    Spans are counted by hash first, and only those that occur again go on with their places; the texts are cut into spans twice, which
+    is less than to keep all places.  A span that a third of the documents have is counted before it is shuffled, and joined by
+    shuffles on both sides, which Spark may split.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             ids, texts = b.column("doc_id"), b.column("text").to_pylist()
             found = list(_spans(texts, size))
             at = pa.array([x[0] for x in found], pa.int64())
-            version = pa.array(list(map(_version, texts)), pa.binary())
-            yield pa.RecordBatch.from_arrays([ids.take(at), version.take(at), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.binary())], ["doc_id", "version", "pos", "h"])
+            version = pa.array(list(map(_version, texts)), pa.int64())
+            h = np.frombuffer(b"".join(x[2] for x in found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([ids.take(at), version.take(at), pa.array([x[1] for x in found], pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "version", "pos", "h", "h2"])
 
     spans = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SPANS)
+    often = cut(spans.groupBy("h", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h", "h2"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "pos")
-    spans = cut(spans.select("h", place.alias("place")))
-    firsts = spans.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last").select("h", "first")
-    again = spans.join(firsts, "h").filter("place <> first")
-    return again.groupBy("place.doc_id", "place.version").agg(F.sort_array(F.collect_set("place.pos")).alias("places"))
+    again = cut(spans.join(often.hint("merge"), ["h", "h2"]).select("h", "h2", place.alias("place")))
+    firsts = cut(again.groupBy("h", "h2").agg(F.min("place").alias("first")))
+    later = again.join(firsts.hint("merge"), ["h", "h2"]).filter("place <> first")
+    return later.groupBy("place.doc_id", "place.version").agg(F.sort_array(F.collect_set("place.pos")).alias("places"))
 
 
 def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, kept text, n_sentences, n_removed) of each row."""
-    marks = repeated(docs, size).select(F.col("doc_id").alias("_id"), F.hex("version").alias("_version"), "places")
+    marks = repeated(docs, size).select(F.col("doc_id").alias("_id"), F.col("version").alias("_of"), "places")
 
     def version(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array([_version(t).hex().upper() for t in b.column("text").to_pylist()])], ["doc_id", "text", "_version"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(list(map(_version, b.column("text").to_pylist())), pa.int64())], ["doc_id", "text", "_version"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
@@ -107,6 +120,6 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 n.append(len(s)), gone.append(int(out.sum()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_sentences", "n_removed"])
 
-    own = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(version, "doc_id long, text string, _version string")
-    joined = own.join(marks, own["doc_id"].eqNullSafe(marks["_id"]) & (own["_version"] == marks["_version"]), "left")
+    own = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(version, "doc_id long, text string, _version long")
+    joined = own.join(marks, own["doc_id"].eqNullSafe(marks["_id"]) & (own["_version"] == marks["_of"]), "left")
     return joined.select("doc_id", "text", "places").mapInArrow(run, "doc_id long, text string, n_sentences long, n_removed long")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import callgraph
 from graphloom.operators.fixpoint import cut
-from graphloom.plans import more  # noqa: F401  registers its queries
+from graphloom.plans import more, program  # noqa: F401  they register their queries
 from graphloom.plans.base import CTES, QUERIES, query
 from graphloom.sources.star import Facts
 

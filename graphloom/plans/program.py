@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import callgraph, callgraph_api, incremental, roots, vta
+from graphloom.operators import callgraph, callgraph_api, incremental, roots, vta, vta_small
 from graphloom.operators.fixpoint import cut, fixpoint
 from graphloom.plans.base import CTES, query
 from graphloom.plans.program_sql import PROGRAM, VTA
@@ -39,7 +39,7 @@ def roots_all(f: Facts) -> DataFrame:
 @query(VTA + "SELECT k, a, b, c, d FROM g_all")
 def full_vta_fixpoint(f: Facts) -> DataFrame:
     """The whole fixpoint as rows: A(method), P(node, type), R(method, ordinal, callee, receiver's type or -1)."""
-    state = vta.propagate(vta.Rules(f.program), f.methods.filter("is_root"))
+    state = vta_small.solve(vta.Rules(f.program), f.methods.filter("is_root").select("method_id"))
     row = lambda k, a, b, c, d: [F.lit(k).alias("k"), *(x.cast("long").alias(n) for x, n in zip((a, b, c, d), "abcd"))]
     zero = F.lit(0)
     out = state.active.select(*row("A", F.col("method_id"), zero, zero, zero)).unionByName(state.pts.select(*row("P", F.col("node_id"), F.col("type_id"), zero, zero)))

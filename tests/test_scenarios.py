@@ -2,7 +2,7 @@
 
 import pytest
 
-from graphloom.operators import callgraph_api, incremental, roots, vta
+from graphloom.operators import callgraph_api, incremental, roots, vta, vta_small
 from graphloom.sources import solution
 
 SCENARIOS = {
@@ -57,6 +57,7 @@ def analysed(spark):
     rules = vta.Rules(p)
     start = roots.main(p)
     state = vta.propagate(rules, start)
+    assert state.same(vta_small.solve(rules, start))
     edges, reached = vta.call_graph(rules, start, state)
     name = named(p)
     return {name[r.method_id] for r in reached.collect()}, {(name[r.caller], name[r.callee]) for r in edges.collect()}

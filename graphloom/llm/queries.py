@@ -62,7 +62,7 @@ def op9_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = bigru.held_out(F.col("doc_id"), 5)
     labels = table(spark, sf_dir, "labels").filter("toxic IS NOT NULL").select("doc_id", "toxic").filter(fold != 0)
-    machine = toxicity.train(docs.join(labels, "doc_id"))
+    machine = toxicity.train(docs, labels)
     out = toxicity.score(docs, machine)
     return out.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -9,12 +9,16 @@ have one and are oftener in toxic documents than in clean ones.  All other words
 sentence scores as its worst word, a document as its worst sentence, mapped to 0..1 by a logistic curve fitted to
 the training documents.
 
+Toxic words are also trained on with one character put in between (`idxiot`), so that such spellings need not be in the labelled texts.
+
 Words are runs of non-space characters, lower-cased, without punctuation at their ends; runs of three or more single
-characters (`i d i o t`) also count joined.  Training takes the `sample` labelled rows with the
-smallest hash of doc_id, by label; all else covers all data.
+characters (`i d i o t`) also count joined, and words with marks in them (`st*upid`) without these.  Training takes the `sample` labels with the
+smallest hash of doc_id, by label, and the first `most_chars` characters of those documents; of near copies among them one is
+kept, or a text that was copied often would make all its words toxic or clean.  All else covers all data.
 Defined cases: null and empty texts score as the machine's clean end; without labelled rows of both kinds every score is 0; ties
 score alike; very long words are read in windows of `longest` characters; repeated rows each get a row; an empty table gives an empty
-result.  Columns other than doc_id, text (and toxic, in training) are ignored.
+result.  A doc_id that documents repeat is
+trained on with its first text in order, one with both labels with either.  Columns other than doc_id, text (and toxic, in training) are ignored.
 """
 
 from __future__ import annotations
@@ -32,14 +36,18 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import pieces
 
-DECAY = 0.6
+DECAY = 0.7
 POWER = 3  #: of the cosine, which keeps unlike words apart
 KEPT_WORDS = 200_000
+SKETCH = 8
 
 
 @dataclass(frozen=True)
 class Settings:
-    sample: int = 1000  #: documents of each label
+    sample: int = 1500  #: labels of each kind
+    most_chars: int = 20_000  #: of a document, in training
+    alike: float = 0.5  #: share of a text's words that an earlier text has, from which it counts as a copy
+    inserted: float = 3.0  #: weight of a toxic word with a character put in, of the word's own
     clean_words: int = 20_000  #: of the sample's clean texts, those with the smallest hash
     landmarks: int = 48  #: of each kind, toxic and frequent clean words
     span: int = 5
@@ -55,12 +63,14 @@ class Settings:
 
 _SPLIT = re.compile(r"\S+")
 _EDGE = ".,;:!?…\"'()[]{}«»“”‘’|<>*_~`#$%&"
+_MARKS = re.compile(r"[\W_]+")
 _SPACED = re.compile(r"(?<!\S)(?:\w[\s.\-_*]{1,2}){2,}\w(?![^\s.,;:!?])")
 
 
 def words(text: str) -> set[str]:
     t = text.lower()
     out = {w for x in _SPLIT.findall(t) if (w := x.strip(_EDGE))}
+    out |= {_MARKS.sub("", w) for w in out if not w.isalnum()} - {""}
     for m in _SPACED.findall(t):
         out.add(re.sub(r"[\s.\-_*]", "", m))
     return out
@@ -214,9 +224,31 @@ def _landmarks(mined: dict[str, float], toxic: dict[str, set[str]], in_bad: Coun
     return out[:most]
 
 
+def originals(texts: list[str], alike: float) -> list[str]:
+    """The texts without near copies of earlier ones.  A text is compared with those that it shares one of its SKETCH smallest word
+    hashes with."""
+    out, of, by = [], [], {}
+    for t in dict.fromkeys(texts):
+        own = words(t)
+        low = sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in own)[:SKETCH]
+        near = {k for h in low for k in by.get(h, ())}
+        if not own or any(len(own & of[k]) >= alike * len(own) for k in near):
+            continue
+        for h in low:
+            by.setdefault(h, []).append(len(out))
+        out.append(t)
+        of.append(own)
+    return out
+
+
+def inserted(word: str) -> list[str]:
+    """The word with one character put in between, a mark or a letter by turns."""
+    return [word[:k] + "x1*-a.0"[(k + len(word)) % 7] + word[k:] for k in range(1, len(word))] if len(word) > 4 else []
+
+
 def fit(rows: list[tuple[str, int]], s: Settings = Settings()) -> Machine | None:
     """A machine fitted to texts and labels."""
-    bad, good = [t for t, y in rows if y == 1 and t], [t for t, y in rows if y == 0 and t]
+    bad, good = (originals([t for t, y in rows if y == kind and t], s.alike) for kind in (1, 0))
     if not bad or not good:
         return None
     own = lambda t: {w for w in words(t) if len(w) <= s.longest}
@@ -230,13 +262,14 @@ def fit(rows: list[tuple[str, int]], s: Settings = Settings()) -> Machine | None
         return None
     rest = sorted((w for w in in_good if w not in toxic), key=lambda w: (zlib.crc32(w.encode()), w))
     clean, near = rest[: s.clean_words], Counter()
+    spelt = {v: s.inserted * in_bad[w] for w in likely for v in inserted(w) if v not in in_good and v not in toxic}
     for _ in range(s.rounds):
         hard = [w for w, _ in sorted(near.items(), key=lambda x: (-x[1], x[0]))]
         kernel = Kernel(list(dict.fromkeys(likely + often + hard[: s.landmarks])), s)
         own_clean = list(dict.fromkeys(clean + hard))
-        x = np.vstack([kernel.features(list(toxic)), kernel.features(own_clean)])
-        y = np.r_[np.ones(len(toxic)), -np.ones(len(own_clean))]
-        count = np.array([*(in_bad[w] for w in toxic), *(in_good[w] + s.boost * near[w] for w in own_clean)], float)
+        x = np.vstack([kernel.features([*toxic, *spelt]), kernel.features(own_clean)])
+        y = np.r_[np.ones(len(toxic) + len(spelt)), -np.ones(len(own_clean))]
+        count = np.array([*(in_bad[w] for w in toxic), *spelt.values(), *(in_good[w] + s.boost * near[w] for w in own_clean)], float)
         machine = Machine(kernel, *_svm(x, y, count, s))
         # a clean document scores as its worst word, so those words weigh more in the next round
         margin = dict(zip(rest, (kernel.features(rest) @ machine.weight + machine.bias).tolist()))
@@ -249,25 +282,27 @@ def fit(rows: list[tuple[str, int]], s: Settings = Settings()) -> Machine | None
 
 
 def _curve(machine: Machine, m: np.ndarray, y: np.ndarray) -> None:
-    """Slope and shift: the threshold with the fewest errors gets 0.5."""
+    """Slope and shift: the threshold with the smallest sum of both kinds' error rates gets 0.5."""
     cuts = np.unique(m)
     cuts = np.r_[cuts[0] - 1, (cuts[1:] + cuts[:-1]) / 2, cuts[-1] + 1]
     order = np.argsort(m)
     ahead = np.searchsorted(m[order], cuts)
     bad_below = np.r_[0, np.cumsum(y[order])][ahead]
     good_above = (1 - y).sum() - np.r_[0, np.cumsum(1 - y[order])][ahead]
-    best = np.flatnonzero((e := bad_below + good_above) == e.min())
+    best = np.flatnonzero((e := bad_below / y.sum() + good_above / (1 - y).sum()) == e.min())
     machine.slope = 4.0
     machine.shift = -4.0 * float(cuts[best[len(best) // 2]])
 
 
-def train(labelled: DataFrame, s: Settings = Settings()) -> Machine | None:
-    """A machine fitted to rows (doc_id, text, toxic); only the sample reaches the driver."""
-    found = []
-    for label in (0, 1):
-        own = labelled.filter((F.col("toxic") == label) & F.col("text").isNotNull())
-        found += own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample).select("text", "toxic").toLocalIterator()
-    return fit([(r.text, r.toxic) for r in found], s)
+def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Machine | None:
+    """A machine fitted to docs (doc_id, text) with labels (doc_id, toxic).  The sample is chosen among the labels alone, so texts are
+    only read, not shuffled; it is broadcast (2 * `sample` rows at most), and only its texts reach the driver, one for each doc_id."""
+    own = labels.select(F.col("doc_id").alias("_id"), "toxic").filter("_id IS NOT NULL").dropDuplicates(["_id", "toxic"])
+    kinds = [own.filter(F.col("toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(s.sample) for k in (0, 1)]
+    chosen = F.broadcast(kinds[0].unionByName(kinds[1]))
+    texts = docs.filter("text IS NOT NULL").join(chosen, F.col("doc_id") == F.col("_id"))
+    texts = texts.groupBy("_id", "toxic").agg(F.min(F.substring("text", 1, s.most_chars)).alias("text"))
+    return fit([(r.text, r.toxic) for r in texts.orderBy(F.xxhash64("_id"), "_id").toLocalIterator()], s)
 
 
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:

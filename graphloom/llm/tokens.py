@@ -6,6 +6,9 @@ and a token that crosses a boundary goes to the section with most of its bytes,
 the earlier one on a tie.  So the sections' counts add up to the document's.
 
 Sections are lines (with their line feed) unless the caller gives others.
+White space of LONG characters or more, on which the pattern's search would run out of stack, is encoded apart, at the places where the
+pattern itself separates it: all of the run but its last character, which belongs to what follows.
+
 Defined cases: null and empty texts have no tokens and no sections; a section
 may have no tokens; repeated rows each get their rows; an empty table gives an
 empty result.  Only doc_id and text are read.
@@ -14,6 +17,7 @@ empty result.  Only doc_id and text are read.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,6 +34,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenizer's pattern that belongs to the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: The characters that the pattern's \s stands for.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG = 10_000
+
 
 @cache
 def encoder(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
@@ -42,6 +50,17 @@ def encoder(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+def encode(enc: tiktoken.Encoding, text: str, long: int = LONG) -> list[int]:
+    """The tokens of a whole text."""
+    out, at = [], 0
+    for m in re.finditer(f"[{WHITE}]{{{long},}}", text):
+        start, end = m.span()
+        end -= end < len(text)
+        out += enc.encode_ordinary(text[at:start]) + enc._encode_single_piece(text[start:end])
+        at = end
+    return out + enc.encode_ordinary(text[at:])
+
+
 def line_ends(text: bytes) -> np.ndarray:
     ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1
     return ends if len(ends) and ends[-1] == len(text) else np.append(ends, len(text))
@@ -71,7 +90,7 @@ def section_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 if not text:
                     n.append(0), cross.append(0), ends.append([]), counts.append([])
                     continue
-                ids = np.array(enc.encode_ordinary(text), np.int64)
+                ids = np.array(encode(enc, text), np.int64)
                 e = line_ends(text.encode())
                 own, crossing = attribute(lengths[ids], e)
                 n.append(len(ids)), cross.append(int(crossing.sum())), ends.append(e), counts.append(own)

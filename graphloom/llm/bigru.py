@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import pieces
 
+#: Times the sample that the rows ranked for it are expected to be.
+SPARE = 3
+
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -34,7 +37,6 @@ class Settings:
     window: int = 64
     sample: int = 400  #: documents of each language
     windows: int = 12  #: of each document
-    max_languages: int = 200
     epochs: int = 6
     batch: int = 256
     rate: float = 0.01
@@ -165,10 +167,10 @@ def train(labelled: DataFrame, s: Settings = Settings()) -> Network | None:
     at = lambda k: F.substring("text", (F.length("text") * k / s.windows).cast("int") + 1, w)
     ranked = rows.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("h"), F.array(*(at(k) for k in range(s.windows))).alias("parts"))
     found = _smallest(ranked, s).collect()
-    languages = sorted({r.lang for r in found})[: s.max_languages]
+    languages = sorted({r.lang for r in found})
     x, y = [], []
     for r in found:
-        for part in r.parts if r.lang in languages else []:
+        for part in r.parts:
             if len(part) > 8:
                 x.append(windows(part.encode(), w)[0]), y.append(languages.index(r.lang))
     if not x:
@@ -179,10 +181,14 @@ def train(labelled: DataFrame, s: Settings = Settings()) -> Network | None:
 
 
 def _smallest(ranked: DataFrame, s: Settings) -> DataFrame:
-    """The rows of each language with the smallest hashes.  The rank by language is filtered within each partition first, so that a
-    language that holds most rows does not meet in one task."""
-    own = Window.partitionBy("lang").orderBy("h", "doc_id")
-    return ranked.withColumn("k", F.row_number().over(own)).filter(F.col("k") <= s.sample).select("lang", "h", "parts").orderBy("lang", "h")
+    """The `sample` rows of each language with the smallest hashes.  Of a language with many rows only those are ranked whose hash is in
+    the lowest share that is expected to hold SPARE times as many, so a language that holds most rows does not meet in one
+    task.  The counts are a row for each language, as the network's output is."""
+    of = ranked.groupBy("lang").agg(F.count("*").alias("rows"))
+    share = F.least(F.lit(1.0), F.lit(float(SPARE * s.sample)) / F.col("rows"))
+    low = ranked.join(F.broadcast(of), "lang").filter(F.pmod("h", F.lit(1 << 40)) <= share * float(1 << 40))
+    own = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h", "doc_id")
+    return low.withColumn("k", F.row_number().over(own)).filter(F.col("k") <= s.sample).select("lang", "h", "parts").orderBy("lang", "h")
 
 
 def held_out(doc_id: Column, mod: int) -> Column:

@@ -4,7 +4,7 @@ A document and a benchmark item that share a seed (a run of `min_match` words)
 are tiled: again and again the longest run of words that both have and that no
 earlier tile overlaps is marked, down to runs of min_match words.  Reordered
 passages are found, as tiles may come in any order.  Coverage is the share of the
-item's words in tiles.  Seeds are found by Karp-Rabin hashes and confirmed word by
+item's words in tiles.  Seeds and tiles are found by Karp-Rabin hashes, and tiles are confirmed word by
 word.
 
 Words are runs of letters and digits in lower case.  The benchmark is the stated
@@ -14,13 +14,12 @@ every block meets all documents.
 Defined cases: null and empty texts match nothing; an item with fewer words than
 a seed is matched as one whole run; an item without words matches nothing; items
 that repeat are each reported; rows that repeat are each judged; empty tables give
-an empty result.  Columns other than doc_id, item_id and text are ignored by `matches` and
+an empty result; long runs of one word cost time, not memory.  Columns other than doc_id, item_id and text are ignored by `matches` and
 kept by `drop_contaminated`.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -49,33 +48,61 @@ def _rolled(ids: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def tiles(item: np.ndarray, doc: np.ndarray, hits: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """(item start, doc start, length) of the tiles; hits: the (item, doc) positions of common runs of `size` words."""
-    diagonal = hits[:, 1] - hits[:, 0]
-    order = np.lexsort((hits[:, 0], diagonal))
-    i, d = hits[order, 0], diagonal[order]
-    first = np.flatnonzero(np.r_[True, (np.diff(d) != 0) | (np.diff(i) != 1)])
-    ends = np.r_[first[1:], len(i)]
-    heap = [(-(int(e - s) + size - 1), int(i[s]), int(i[s] + d[s])) for s, e in zip(first, ends)]
-    heapq.heapify(heap)
-    used_item, used_doc, out = np.zeros(len(item), bool), set(), []
-    while heap:
-        n, a, b = heapq.heappop(heap)
-        n = -n
-        free = [not used_item[a + k] and b + k not in used_doc for k in range(n)]
-        if all(free):
-            out.append((a, b, n))
-            used_item[a : a + n] = True
-            used_doc.update(range(b, b + n))
-            continue
-        start = None
-        for k, ok in enumerate([*free, False]):
-            if ok and start is None:
-                start = k
-            elif not ok and start is not None:
-                if k - start >= size:
-                    heapq.heappush(heap, (-(k - start), a + start, b + start))
-                start = None
+def _windows(ids: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of the runs of `size` free words, and their Karp-Rabin hashes."""
+    if size > len(ids):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    taken = np.r_[0, np.cumsum(~free)]
+    at = np.flatnonzero(taken[size:] == taken[: len(ids) - size + 1])
+    out, part, step, done, width = None, ids.astype(np.uint64), np.uint64(_BASE), 0, 1
+    while True:  # by doubling: out holds the hashes of runs of `done` words
+        if size & width:
+            out = part if out is None else out[: len(ids) - done - width + 1] * step + part[done : len(ids) - width + 1]
+            done += width
+        if done == size:
+            return at, out[at]
+        part = part[: len(ids) - 2 * width + 1] * step + part[width : len(ids) - width + 1]
+        width, step = 2 * width, np.uint64(int(step) ** 2 % (1 << 64))
+
+
+def _longest(free: np.ndarray) -> int:
+    edges = np.flatnonzero(np.diff(np.r_[False, free, False].astype(np.int8)))
+    return int((edges[1::2] - edges[::2]).max(initial=0))
+
+
+def tiles(item: np.ndarray, doc: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(item start, doc start, length) of the tiles, the longest first, of equals that with the smallest item start, then the smallest
+    doc start.  Memory is in proportion to the words, however often they repeat.
+
+    The running search: the greatest length at which item and document have a hash in common is found by halving, since every
+    shorter length has one too; all matches of that length are marked; then shorter ones are looked for.
+    """
+    free_item, free_doc, out = item > 0, np.isin(doc, item) & (doc > 0), []
+    most = min(_longest(free_item), _longest(free_doc))
+    while most >= size:
+        low, high = size - 1, most  # runs of `low` words are known to match
+        while low < high:
+            mid = (low + high + 1) // 2
+            if np.isin(_windows(item, free_item, mid)[1], _windows(doc, free_doc, mid)[1]).any():
+                low = mid
+            else:
+                high = mid - 1
+        if low < size:
+            break
+        (a, own), (b, other) = _windows(item, free_item, low), _windows(doc, free_doc, low)
+        order = np.argsort(other, kind="stable")
+        b, other = b[order], other[order]
+        for i, h in zip(a.tolist(), own.tolist()):
+            if not free_item[i : i + low].all():
+                continue
+            lo, hi = np.searchsorted(other, np.uint64(h), "left"), np.searchsorted(other, np.uint64(h), "right")
+            for j in b[lo:hi].tolist():
+                if free_doc[j : j + low].all() and (item[i : i + low] == doc[j : j + low]).all():
+                    out.append((i, j, low))
+                    free_item[i : i + low] = False
+                    free_doc[j : j + low] = False
+                    break
+        most = low - 1
     return out
 
 
@@ -112,19 +139,16 @@ class Block:
                 continue
             own = _rolled(ids, size)[where]
             lo, hi = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
-            n = hi - lo
-            seed = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            which, hits = item[seed], np.stack([at[seed], np.repeat(where, n)], 1)
-            order = np.argsort(which, kind="stable")
-            which, hits = which[order], hits[order]
-            cuts = np.flatnonzero(np.diff(which)) + 1
-            for k, own_hits in zip(which[np.r_[0, cuts]] if len(which) else [], np.split(hits, cuts)):
+            ranges = np.unique(np.stack([lo, hi], 1)[hi > lo], axis=0)  # of equal hashes, so they are disjoint
+            seeds = np.concatenate([np.arange(x, y) for x, y in ranges.tolist()] or [np.zeros(0, np.int64)])
+            seeds = seeds[np.argsort(item[seeds], kind="stable")]
+            own = item[seeds]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            for k, starts in zip(own[first].tolist(), np.split(at[seeds], first[1:])):
                 item_id, words_of, _ = self.items[k]
-                same = np.all([words_of[own_hits[:, 0] + j] == ids[own_hits[:, 1] + j] for j in range(size)], axis=0)
-                own_hits = own_hits[same]
-                if not len(own_hits) or _reach(own_hits[:, 0], size) < least * len(words_of):
+                if _reach(starts, size) < least * len(words_of):
                     continue
-                found = tiles(words_of, ids, own_hits, size)
+                found = tiles(words_of, ids, size)
                 covered = sum(t[2] for t in found)
                 if covered >= least * len(words_of):
                     yield item_id, len(words_of), covered, len(found)
@@ -132,7 +156,7 @@ class Block:
 
 def _reach(starts: np.ndarray, size: int) -> int:
     """How many words of the item any tiling could cover."""
-    s = np.unique(starts)
+    s = np.sort(starts)
     return int(np.minimum(np.diff(s, append=s[-1] + size), size).sum())
 
 
@@ -150,13 +174,14 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple
         yield now
 
 
-MATCHES = "doc_id long, item_id long, item_words long, covered_words long, n_tiles long"
+MATCHES = "item_id long, item_words long, covered_words long, n_tiles long"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_match: int = MIN_MATCH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, item_words, covered_words, n_tiles) for each document and item with coverage >= threshold."""
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_match: int = MIN_MATCH, block_words: int = BLOCK_WORDS, kind: str = "long") -> DataFrame:
+    """(doc_id, item_id, item_words, covered_words, n_tiles) for each document and item with coverage >= threshold; kind: of doc_id."""
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    source = docs.select(F.col("doc_id").cast(kind), F.col("text").cast("string"))
+    schema = f"doc_id {kind}, {MATCHES}"
     out = None
     for block in blocks(benchmark, block_words):
         held = spark.sparkContext.broadcast(block)
@@ -165,16 +190,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
             b = Block(held.value, min_match)
             for batch in pieces(batches, "text"):
                 found = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in b.match(t, threshold)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(5)], ["doc_id", "item_id", "item_words", "covered_words", "n_tiles"])
+                kinds = [batch.schema.field(0).type] + [pa.int64()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kinds[k]) for k in range(5)], ["doc_id", "item_id", "item_words", "covered_words", "n_tiles"])
 
-        part = source.mapInArrow(run, MATCHES)
+        part = source.mapInArrow(run, schema)
         part = part if out is None and len(block) else cut(part)
         out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], MATCHES) if out is None else out
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_match: int = MIN_MATCH) -> DataFrame:
-    """The rows of docs, columns unchanged, whose doc_id matches no item; rows with a null doc_id are
-    judged together, as one document."""
-    hit = cut(matches(docs, benchmark, threshold, min_match).select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    """The rows of docs, columns unchanged, whose text matches no item.  Texts are judged and joined by their MD5, so rows
+    with the same doc_id, or none, are judged one by one."""
+    key = F.md5(F.encode("text", "UTF-8"))
+    hit = matches(docs.select(key.alias("doc_id"), "text"), benchmark, threshold, min_match, kind="string")
+    hit = cut(hit.select(F.col("doc_id").alias("_hit")).distinct())
+    return docs.join(hit, key == hit["_hit"], "left_anti")

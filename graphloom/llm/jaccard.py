@@ -1,15 +1,20 @@
-"""Near-duplicates by the Jaccard similarity of shingle sets, with no loss: a prefix-filtered join and an exact check.
+"""SimHash near-dedup at a stated similarity: links of fingerprints, checked by the whole shingle sets, and an exact way for the rest.
+
+At a Jaccard similarity of 0.8 fingerprints often differ in more bits than anchors can reach, so the links that SimHash gives (`simhash.links`
+on five-word shingles) are the first pairs but cannot be all.  The others are found with no loss by a
+prefix-filtered join.
 
 Shingles have one global order: those that a sample of the texts does not repeat come first, the others by
 how often it does.  The order decides only how much is compared.  Two sets at the threshold or above share a
 shingle among the first n - ceil(threshold * n) + 1 of each, so texts meet by the shingles of these prefixes.
-In a first pass every text that meets others at a shingle is compared with one of them, the one that has the shingle
-earliest, so a large group of near copies costs a row a member; in a second one all pairs that
-meet and are not yet in one component.  Each pair is checked by its whole sets, in whole numbers.
+In a first pass every text is compared with its SimHash links and with one of those that it meets: of the smallest texts, by key, at
+each of its shingles, the one it meets most often.  So a large group of near copies costs a row a member.  In a second pass all pairs that
+meet and are not yet in one component are compared.  Each pair is checked by its whole sets, in whole numbers.
 
 Equal sets are one node, so copies never meet as pairs.  Sets are told apart by 64 bits of hash, as shingles are.
 Defined cases: null and empty texts have no shingles and equal each other; fewer words than a shingle are one
-shingle; null doc_ids are kept; an empty table gives an empty result.
+shingle; null doc_ids are kept; rows that repeat are copies; an empty table gives an empty result.  Columns other than doc_id and text are
+ignored by `components` and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -22,9 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, pieces
+from graphloom.llm.common import cut, pieces, release, small_enough
 from graphloom.llm.components import component_of
-from graphloom.llm.simhash import SEED, shingle_hashes
+from graphloom.llm.simhash import SEED, links, shingle_hashes, vote
 
 #: The similarity from which texts link, as a fraction, and the words of a shingle.
 NUM, DEN, SHINGLE = 4, 5, 5
@@ -32,6 +37,12 @@ NUM, DEN, SHINGLE = 4, 5, 5
 #: About so many texts tell which shingles are common: those that OFTEN of them have.
 SAMPLE, OFTEN = 16384, 3
 
+#: Up to so many texts to compare are looked up by a broadcast of their doc_ids, more by a shuffle.
+BROADCAST = 500_000
+
+#: Sets that a task remembers to have sent.
+SEEN = 1_000_000
+
 
 def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, size) if text else [], np.uint64)).view(np.int64)
@@ -41,10 +52,6 @@ def _key(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8").alias("t"))
 
@@ -73,31 +80,55 @@ def prefix(s: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, often))[: len(s) + 1 - (NUM * len(s) + DEN - 1) // DEN]] if len(s) else s
 
 
-def sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, key (of its set), n (shingles of the set) and prefix of each row."""
-    held = docs.sparkSession.sparkContext.broadcast(common(docs, size))
+def keyed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, key (of its shingle set) and fp (the SimHash of its shingles) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t"):
-            found = [shingle_set(x, size) for x in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(map(_key, found)), pa.int64()), pa.array(list(map(len, found)), pa.int64()), _lists([prefix(s, *held.value) for s in found])], ["doc_id", "key", "n", "prefix"])
+            found = [shingle_hashes(x, size) if x else [] for x in b.column("t").to_pylist()]
+            key = [_key(np.unique(np.array(x, np.uint64)).view(np.int64)) for x in found]
+            fp = np.array([vote(x) for x in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key, pa.int64()), pa.array(fp)], ["doc_id", "key", "fp"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, key long, fp long")
 
-    return _texts(docs).mapInArrow(run, "doc_id long, key long, n long, prefix array<long>")
+
+def prefixes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(token, key, at) of every shingle in a text's prefix; at has the set's size in its upper 32 bits and the shingle's place in the lower.
+    A task sends a set once, however many copies it reads."""
+    held = docs.sparkSession.sparkContext.broadcast(common(docs, size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for b in pieces(batches, "t", 1 << 20):
+            parts = []
+            for x in b.column("t").to_pylist():
+                s = shingle_set(x, size)
+                if (key := _key(s)) not in seen:
+                    seen.add(key)
+                    p = prefix(s, *held.value)
+                    parts.append((p, np.full(len(p), key), (len(s) << 32) + np.arange(len(p))))
+            if len(seen) > SEEN:
+                seen.clear()
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)], ["token", "key", "at"])
+
+    return _texts(docs).mapInArrow(run, "token long, key long, at long")
 
 
 def _may_link(a: str, b: str) -> Column:
     """Whether sets that have their first common shingle where a and b say can reach the threshold."""
-    (na, pa_), (nb, pb) = ((F.col(f"{x}.n"), F.col(f"{x}.pos")) for x in (a, b))
+    (na, pa_), (nb, pb) = ((F.shiftright(f"{x}.at", 32), F.col(f"{x}.at").bitwiseAND(0xFFFFFFFF)) for x in (a, b))
     return (DEN + NUM) * F.least(na - pa_, nb - pb) >= NUM * (na + nb)
 
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.least("l.key", "r.key").alias("a"), F.greatest("l.key", "r.key").alias("b")).distinct()
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) of keys whose sets are at the threshold or above."""
-    pairs = cut(pairs)
+    pairs = cut(pairs.distinct())
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes, "key").select(F.col("key").alias("_key"), "first"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,40 +146,64 @@ def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) ->
             yield b.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     firsts = wanted.select("first").distinct()
+    firsts = F.broadcast(firsts) if small_enough(firsts, BROADCAST) else firsts.hint("merge")
     own = _texts(docs)
     held = own.join(firsts, own["doc_id"].eqNullSafe(firsts["first"]), "left_semi").mapInArrow(whole, "key long, s binary")
     held = cut(held.join(wanted, held["key"] == wanted["_key"], "left_semi").dropDuplicates(["key"]))
+    release(docs.sparkSession)
     both = pairs.join(held.withColumnRenamed("key", "a"), "a").join(held.select(F.col("key").alias("b"), F.col("s").alias("z")), "b")
-    return cut(both.select("a", "b", "s", "z").mapInArrow(check, "a long, b long"))
+    found = cut(both.select("a", "b", "s", "z").mapInArrow(check, "a long, b long"))
+    release(docs.sparkSession)
+    return found
+
+
+def _leaders(met: DataFrame) -> DataFrame:
+    """(a, b): each text with the one that is the smallest by key at most of its shingles."""
+    lead = cut(met.groupBy("token").agg(F.min("key").alias("lead")))
+    of = met.join(lead.hint("merge"), "token").filter("key <> lead").groupBy("key", "lead").agg(F.count("*").alias("k"))
+    return cut(of.groupBy("key").agg(F.max_by("lead", F.struct("k", "lead")).alias("lead"))).select(*_ordered("key", "lead"))
 
 
 def linked(nodes: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Links (a, b) among nodes (key, n, prefix, first) that join all those of a component."""
-    tokens = nodes.select("key", "n", F.posexplode("prefix").alias("pos", "token"))
-    counts = tokens.groupBy("token").count().filter("count > 1").select("token")
-    met = cut(tokens.join(counts, "token"))
-    lead = met.groupBy("token").agg(F.min(F.struct("pos", "key", "n")).alias("x")).select("token", "x.*")
-    at = F.col("l.token") == F.col("r.token")
-    edges = _checked(_pairs(met.alias("l").join(lead.alias("r"), at & (F.col("l.key") != F.col("r.key")) & _may_link("l", "r"))), nodes, docs, size)
+    """Links (a, b) among nodes (key, first, fp) that join all those of a component."""
+    near = links(nodes.select("fp").distinct())
+    by = nodes.select("fp", "key")
+    same = by.groupBy("fp").agg(F.min("key").alias("lead"))  # one text stands for a fingerprint, and the others are compared with it
+    near = near.join(same.withColumnsRenamed({"fp": "a", "lead": "x"}), "a").join(same.withColumnsRenamed({"fp": "b", "lead": "y"}), "b").select(*_ordered("x", "y"))
+    near = cut(near.unionByName(by.join(same, "fp").filter("key <> lead").select(*_ordered("key", "lead"))))
+    release(docs.sparkSession)
+
+    tokens = prefixes(docs, size)
+    several = cut(tokens.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token"))
+    release(docs.sparkSession)
+    met = cut(tokens.join(several.hint("merge"), "token"))
+    release(docs.sparkSession)
+    pairs = near.unionByName(_leaders(met))
+    release(docs.sparkSession)
+    edges = _checked(pairs, nodes, docs, size)
 
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     label = component_of(ends.withColumn("name", F.col("node")), edges, "name").withColumnRenamed("label", "part")
-    met = cut(met.join(label, met["key"] == label["node"], "left").select("token", "key", "n", "pos", F.coalesce("part", "key").alias("part")))
+    met = cut(met.join(label, met["key"] == label["node"], "left").select("token", "key", "at", F.coalesce("part", "key").alias("part")).dropDuplicates(["token", "key"]))
+    release(docs.sparkSession)
     most = met.groupBy("token", "part").count().groupBy("token").agg(F.max(F.struct("count", "part")).alias("x"), F.count("*").alias("parts")).filter("parts > 1")
-    rest = met.join(most.select("token", F.col("x.part").alias("main")), "token").filter("part <> main").drop("main")
+    most = cut(most.select("token", F.col("x.part").alias("main")))
+    rest = cut(met.join(most.hint("merge"), "token").filter("part <> main").drop("main"))
+    release(docs.sparkSession)
+    at = F.col("l.token") == F.col("r.token")
     more = rest.alias("l").join(met.alias("r"), at & (F.col("l.part") != F.col("r.part")) & _may_link("l", "r"))
-    return edges.unionByName(_checked(_pairs(more), nodes, docs, size))
+    return edges.unionByName(_checked(more.select(*_ordered("l.key", "r.key")), nodes, docs, size))
 
 
 def components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable over links) of each row of docs."""
-    own = cut(sets(docs, size))
-    nodes = cut(own.groupBy("key").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")))
+    own = cut(keyed(docs, size))
+    nodes = cut(own.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")))
     edges = cut(linked(nodes, docs, size))
     ends = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes, "key")
     label = component_of(ends.select(F.col("key").alias("node"), "first"), edges, "first")
-    named = nodes.select("key", "first").join(label, nodes["key"] == label["node"], "left")
-    return own.select("doc_id", "key").join(named, "key").select("doc_id", F.coalesce("label", "first").alias("component_id"))
+    named = cut(nodes.select("key", "first").join(label, nodes["key"] == label["node"], "left").select("key", F.coalesce("label", "first").alias("component_id")))
+    return own.select("doc_id", "key").join(named.hint("merge"), "key").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:

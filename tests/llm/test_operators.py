@@ -109,9 +109,6 @@ def test_held_out_accuracy(spark):
     held = [r for r in queries.op5_byte_bigru(spark, sf).collect() if r.held_out]
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.95
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in held)
-    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    held = [r for r in queries.op9_string_kernel(spark, sf).collect() if r.held_out and r.doc_id in toxic]
-    assert np.mean([r.predicted == toxic[r.doc_id] for r in held]) > 0.9
 
 
 def test_warc(spark, tmp_path):

@@ -19,7 +19,7 @@ def _query(sql: str, facts: bool = True):
 
 @_query("SELECT method_id FROM f_reach")
 def reachable_methods(f: Facts) -> DataFrame:
-    return callgraph.reachable(cut(callgraph.edges(f)), f.methods.filter("is_root"))
+    return callgraph.reachable(callgraph.edges(f), f.methods.filter("is_root"))
 
 
 @_query("SELECT sub, sup, dist FROM f_subtype")
@@ -85,15 +85,11 @@ def solution_stats(f: Facts) -> DataFrame:
 @_query(
     """SELECT coalesce(a.o_orderkey, b.o_orderkey) AS method_id, CASE WHEN a.o_orderkey IS NULL THEN 'Added' WHEN b.o_orderkey IS NULL THEN 'Removed' ELSE 'Updated' END AS kind
 FROM (SELECT * FROM orders WHERE o_orderkey % 10 <> 0) a FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 10 <> 1) b ON a.o_orderkey = b.o_orderkey
-WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus <> CASE WHEN b.o_orderkey % 7 = 0 THEN upper(b.o_orderpriority) ELSE b.o_orderstatus END""",
+WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus IS DISTINCT FROM CASE WHEN b.o_orderkey % 7 = 0 THEN upper(b.o_orderpriority) ELSE b.o_orderstatus END""",
     facts=False,
 )
 def method_diff(f: Facts) -> DataFrame:
-    orders, key = f.table("orders"), F.col("o_orderkey")
-    old = orders.filter(key % 10 != 0).select("o_orderkey", F.col("o_orderstatus").alias("was"))
-    new = orders.filter(key % 10 != 1).select("o_orderkey", F.when(key % 7 == 0, F.upper("o_orderpriority")).otherwise(F.col("o_orderstatus")).alias("now"))
-    kind = F.when(F.col("was").isNull(), "Added").when(F.col("now").isNull(), "Removed").otherwise("Updated")
-    return old.join(new, "o_orderkey", "full").filter("NOT was <=> now").select(F.col("o_orderkey").alias("method_id"), kind.alias("kind"))
+    return more.diff(f)
 
 
 @_query("SELECT (user_id % 4)::BIGINT AS sender, (event_id % 4)::BIGINT AS receiver, count(*) AS n FROM events GROUP BY ALL", facts=False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import callgraph, resolution
+from graphloom.operators import callgraph, incremental, resolution
 from graphloom.operators.fixpoint import cut
 from graphloom.plans.base import CTES, query
 from graphloom.sinks import graphs
@@ -28,9 +28,19 @@ Q = """, f_compat AS (
 CHANGED = """, f_diff AS (
   SELECT coalesce(a.o_orderkey, b.o_orderkey) AS method_id, CASE WHEN a.o_orderkey IS NULL THEN 'Added' WHEN b.o_orderkey IS NULL THEN 'Removed' ELSE 'Updated' END AS kind
   FROM (SELECT * FROM orders WHERE o_orderkey % 10 <> 0) a FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 10 <> 1) b ON a.o_orderkey = b.o_orderkey
-  WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus <> CASE WHEN b.o_orderkey % 7 = 0 THEN upper(b.o_orderpriority) ELSE b.o_orderstatus END
+  WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus IS DISTINCT FROM CASE WHEN b.o_orderkey % 7 = 0 THEN upper(b.o_orderpriority) ELSE b.o_orderstatus END
 )
 """
+
+
+def diff(f: Facts) -> DataFrame:
+    """(method_id, kind) between the old and the new version of the orders."""
+    orders, key = f.table("orders"), F.col("o_orderkey")
+    old = orders.filter(key % 10 != 0).select(key.alias("method_id"), F.col("o_orderstatus").alias("body_text"))
+    new = orders.filter(key % 10 != 1).select(key.alias("method_id"), F.when(key % 7 == 0, F.upper("o_orderpriority")).otherwise(F.col("o_orderstatus")).alias("body_text"))
+    return incremental.method_diff(old, new)
+
+
 MADE = "SELECT a AS type_id FROM f_stmt WHERE stmt_kind = 'A'"
 HELD = "SELECT type_id FROM f_method"
 
@@ -41,6 +51,12 @@ def log(f: Facts) -> DataFrame:
     return f.table("events").select("event_id", "ts", part("user_id").alias("sender"), part("event_id").alias("receiver"), F.col("event_type").alias("op"), "value", "user_id")
 
 
+def _totals(df: DataFrame, **marks: str) -> DataFrame:
+    """Subtotals are called `all`; a key that is null itself stays null."""
+    named = {c: F.when(F.col(m) == 1, "all").otherwise(F.col(c)) for c, m in marks.items()}
+    return df.withColumns(named).drop(*marks.values())
+
+
 @query(CTES + Q + "SELECT caller, ordinal, callee FROM f_edge_q")
 def call_edges_q(f: Facts) -> DataFrame:
     return resolution.edges_q(f)
@@ -48,7 +64,7 @@ def call_edges_q(f: Facts) -> DataFrame:
 
 @query(CTES + Q + ", f_graph AS (SELECT method_id FROM f_method WHERE is_root UNION SELECT callee FROM f_graph JOIN f_edge_q ON caller = method_id) SELECT method_id FROM f_graph")
 def call_graph_q(f: Facts) -> DataFrame:
-    return callgraph.reachable(cut(resolution.edges_q(f)), f.methods.filter("is_root"))
+    return callgraph.reachable(resolution.edges_q(f), f.methods.filter("is_root"))
 
 
 @query(CTES + Q + "SELECT type_id, compatible FROM f_compat")
@@ -63,7 +79,7 @@ def bfs_levels(f: Facts) -> DataFrame:
 
 @query(CTES + ", f_one AS (SELECT min(method_id) AS method_id FROM f_method WHERE is_root UNION SELECT callee FROM f_one JOIN f_edge ON caller = method_id) SELECT method_id FROM f_one")
 def reachable_from_one(f: Facts) -> DataFrame:
-    return callgraph.reachable(cut(callgraph.edges(f)), f.methods.filter("is_root").agg(F.min("method_id").alias("method_id")))
+    return callgraph.reachable(callgraph.edges(f), f.methods.filter("is_root").agg(F.min("method_id").alias("method_id")))
 
 
 @query(CTES + "SELECT sub, sup FROM f_subtype WHERE dist > 0")
@@ -96,26 +112,22 @@ def cooccurrence(f: Facts) -> DataFrame:
     return both.groupBy("one", "other").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "one", "other").limit(20)
 
 
-@query(CTES + "SELECT coalesce(iface, 'all') AS project, coalesce(kind, 'all') AS kind, count(*) AS n_methods, count_if(is_virtual) AS n_virtual FROM f_method m JOIN (SELECT p_partkey AS type_id, p_brand AS iface, p_type AS kind FROM part) t USING (type_id) GROUP BY ROLLUP (iface, kind)")
+@query(CTES + "SELECT CASE WHEN grouping(iface) = 1 THEN 'all' ELSE iface END AS project, CASE WHEN grouping(kind) = 1 THEN 'all' ELSE kind END AS kind, count(*) AS n_methods, count_if(is_virtual) AS n_virtual FROM f_method m JOIN (SELECT p_partkey AS type_id, p_brand AS iface, p_type AS kind FROM part) t USING (type_id) GROUP BY ROLLUP (iface, kind)")
 def solution_stats_rollup(f: Facts) -> DataFrame:
     own = f.methods.join(f.types.select("type_id", F.col("iface").alias("project"), "kind"), "type_id")
-    out = own.rollup("project", "kind").agg(F.count("*").alias("n_methods"), F.count_if("is_virtual").alias("n_virtual"))
-    return out.fillna("all", ["project", "kind"])
+    out = own.rollup("project", "kind").agg(F.count("*").alias("n_methods"), F.count_if("is_virtual").alias("n_virtual"), F.grouping("project").alias("all_projects"), F.grouping("kind").alias("all_kinds"))
+    return _totals(out, project="all_projects", kind="all_kinds")
 
 
 @query(CTES + CHANGED + "SELECT callee, caller, ordinal FROM f_edge WHERE caller NOT IN (SELECT method_id FROM f_diff WHERE kind <> 'Added')")
 def unregister_callers(f: Facts) -> DataFrame:
-    from graphloom.plans.catalogue import method_diff
-
-    gone = method_diff(f).filter("kind <> 'Added'").select(F.col("method_id").alias("caller"))
+    gone = diff(f).filter("kind <> 'Added'").select(F.col("method_id").alias("caller"))
     return callgraph.edges(f).join(gone, "caller", "left_anti").select("callee", "caller", "ordinal")
 
 
 @query(CTES + CHANGED + "SELECT DISTINCT caller FROM f_edge WHERE callee IN (SELECT method_id FROM f_diff) AND caller NOT IN (SELECT method_id FROM f_diff)")
 def prune_changed_callers(f: Facts) -> DataFrame:
-    from graphloom.plans.catalogue import method_diff
-
-    changed = cut(method_diff(f).select(F.col("method_id").alias("callee")))
+    changed = cut(diff(f).select(F.col("method_id").alias("callee")))
     touched = callgraph.edges(f).join(changed, "callee", "left_semi").select("caller").distinct()
     return touched.join(changed.withColumnRenamed("callee", "caller"), "caller", "left_anti")
 
@@ -157,7 +169,7 @@ def symbol_ids(f: Facts) -> DataFrame:
     return f.calls.select(F.concat_ws("@", "caller", "ordinal").alias("symbol")).unionAll(f.methods.select(F.col("method_id").cast("string")))
 
 
-@query(CTES + "SELECT DISTINCT id, '<Node Id=\"' || id || '\" />' AS line FROM (SELECT caller AS id FROM f_edge UNION SELECT callee FROM f_edge)")
+@query(CTES + "SELECT DISTINCT id, '<Node Id=\"' || id || '\" Label=\"' || id || '\" />' AS line FROM (SELECT caller AS id FROM f_edge UNION SELECT callee FROM f_edge)")
 def dgml_nodes(f: Facts) -> DataFrame:
     return graphs.dgml_nodes(cut(callgraph.edges(f)))
 
@@ -188,9 +200,9 @@ def slowest_and_latest(f: Facts) -> DataFrame:
     return log(f).groupBy("sender").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("slowest"), F.max_by("event_id", F.struct("ts", "event_id")).alias("latest"))
 
 
-@query("SELECT coalesce((user_id % 4)::VARCHAR, 'all') AS silo, coalesce(event_type, 'all') AS class, count(*) AS n FROM events GROUP BY CUBE (user_id % 4, event_type)")
+@query("SELECT CASE WHEN grouping(silo) = 1 THEN 'all' ELSE silo END AS silo, CASE WHEN grouping(class) = 1 THEN 'all' ELSE class END AS class, count(*) AS n FROM (SELECT (user_id % 4)::VARCHAR AS silo, event_type AS class FROM events) GROUP BY CUBE (silo, class)")
 def activation_cube(f: Facts) -> DataFrame:
-    return log(f).select(F.col("sender").cast("string").alias("silo"), F.col("op").alias("class")).cube("silo", "class").agg(F.count("*").alias("n")).fillna("all", ["silo", "class"])
+    return log(f).select(F.col("sender").cast("string").alias("silo"), F.col("op").alias("class")).cube("silo", "class").agg(F.count("*").alias("n"), F.grouping("silo").alias("all_silos"), F.grouping("class").alias("all_classes")).transform(_totals, **{"silo": "all_silos", "class": "all_classes"})
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 60 SECONDS, ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS n FROM events GROUP BY minute")

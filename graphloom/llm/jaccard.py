@@ -9,7 +9,8 @@ how often it does.  The order decides only how much is compared.  Two sets at th
 shingle among the first n - ceil(threshold * n) + 1 of each, so texts meet by the shingles of these prefixes.
 In a first pass every text is compared with its SimHash links and with one of those that it meets: of the smallest texts, by key, at
 each of its shingles, the one it meets most often.  So a large group of near copies costs a row a member.  In a second pass all pairs that
-meet and are not yet in one component are compared.  Each pair is checked by its whole sets, in whole numbers.
+meet and are not yet in one component are compared.  Each pair is checked by its whole sets, in whole numbers, unless the sets' sketches
+(counts of shingles by class of hash) differ by too much already.
 
 Equal sets are one node, so copies never meet as pairs.  Sets are told apart by 64 bits of hash, as shingles are.
 Defined cases: null and empty texts have no shingles and equal each other; fewer words than a shingle are one
@@ -40,6 +41,9 @@ SAMPLE, OFTEN = 16384, 3
 #: Up to so many texts to compare are looked up by a broadcast of their doc_ids, more by a shuffle.
 BROADCAST = 500_000
 
+#: Classes of a sketch, a power of two.
+BUCKETS = 64
+
 #: Sets that a task remembers to have sent.
 SEEN = 1_000_000
 
@@ -80,17 +84,23 @@ def prefix(s: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, often))[: len(s) + 1 - (NUM * len(s) + DEN - 1) // DEN]] if len(s) else s
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each of BUCKETS classes of hash.  The sum of two sketches' differences is at most the number of
+    shingles that only one of the sets has, so it rules pairs out with no loss."""
+    return np.bincount(s.view(np.uint64) >> np.uint64(64 - BUCKETS.bit_length() + 1), minlength=BUCKETS).astype(np.int32).tobytes()
+
+
 def keyed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, key (of its shingle set) and fp (the SimHash of its shingles) of each row."""
+    """doc_id, key (of its shingle set), fp (the SimHash of its shingles) and sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t"):
             found = [shingle_hashes(x, size) if x else [] for x in b.column("t").to_pylist()]
-            key = [_key(np.unique(np.array(x, np.uint64)).view(np.int64)) for x in found]
+            own = [np.unique(np.array(x, np.uint64)).view(np.int64) for x in found]
             fp = np.array([vote(x) for x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key, pa.int64()), pa.array(fp)], ["doc_id", "key", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(map(_key, own)), pa.int64()), pa.array(fp), pa.array(list(map(sketch, own)), pa.binary())], ["doc_id", "key", "fp", "sketch"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, key long, fp long")
+    return _texts(docs).mapInArrow(run, "doc_id long, key long, fp long, sketch binary")
 
 
 def prefixes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -127,14 +137,29 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are at the threshold or above."""
-    pairs = cut(pairs.distinct())
+    """The pairs (a, b) of keys whose sets are at the threshold or above.  Sketches rule out most others before sets are sent."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.int32).reshape(-1, BUCKETS) for c in ("x", "y"))
+                total = x.sum(1) + y.sum(1)
+                # of sets that link, (DEN - NUM) / (DEN + NUM) of the shingles of both, at most, are in one only
+                fits = np.abs(x - y).sum(1) * (DEN + NUM) <= total * (DEN - NUM)
+                yield b.select(["a", "b"]).filter(pa.array(fits))
+
+    of = lambda c, n: nodes.select(F.col("key").alias(c), F.col("sketch").alias(n))
+    pairs = cut(pairs.distinct().join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(possible, "a long, b long"))
+    release(docs.sparkSession)
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes, "key").select(F.col("key").alias("_key"), "first"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # a task sends a set once
         for b in pieces(batches, "t"):
-            found = [shingle_set(x, size) for x in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(_key, found)), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "s"])
+            found = [(k, s) for x in b.column("t").to_pylist() for s in [shingle_set(x, size)] for k in [_key(s)] if k not in seen and not seen.add(k)]
+            if len(seen) > SEEN:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["key", "s"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,7 +174,7 @@ def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) ->
     firsts = F.broadcast(firsts) if small_enough(firsts, BROADCAST) else firsts.hint("merge")
     own = _texts(docs)
     held = own.join(firsts, own["doc_id"].eqNullSafe(firsts["first"]), "left_semi").mapInArrow(whole, "key long, s binary")
-    held = cut(held.join(wanted, held["key"] == wanted["_key"], "left_semi").dropDuplicates(["key"]))
+    held = cut(held.join(wanted, held["key"] == wanted["_key"], "left_semi").groupBy("key").agg(F.any_value("s").alias("s")))
     release(docs.sparkSession)
     both = pairs.join(held.withColumnRenamed("key", "a"), "a").join(held.select(F.col("key").alias("b"), F.col("s").alias("z")), "b")
     found = cut(both.select("a", "b", "s", "z").mapInArrow(check, "a long, b long"))
@@ -165,7 +190,7 @@ def _leaders(met: DataFrame) -> DataFrame:
 
 
 def linked(nodes: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Links (a, b) among nodes (key, first, fp) that join all those of a component."""
+    """Links (a, b) among nodes (key, first, fp, sketch) that join all those of a component."""
     near = links(nodes.select("fp").distinct())
     by = nodes.select("fp", "key")
     same = by.groupBy("fp").agg(F.min("key").alias("lead"))  # one text stands for a fingerprint, and the others are compared with it
@@ -198,7 +223,7 @@ def linked(nodes: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 def components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable over links) of each row of docs."""
     own = cut(keyed(docs, size))
-    nodes = cut(own.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")))
+    nodes = cut(own.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.any_value("sketch").alias("sketch")))
     edges = cut(linked(nodes, docs, size))
     ends = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes, "key")
     label = component_of(ends.select(F.col("key").alias("node"), "first"), edges, "first")

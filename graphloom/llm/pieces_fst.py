@@ -43,7 +43,7 @@ from graphloom.llm.common import pieces
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KEPT_WORDS, KEPT_PAIRS = 400_000, 1_000_000
+KEPT_WORDS, KEPT_PAIRS = 500_000, 1_000_000
 
 
 class Normaliser:
@@ -135,22 +135,25 @@ class Transducer:
 
     def path(self, word: str) -> tuple[tuple[int, ...], float]:
         """The ids and the weight of the shortest path of a normalised text."""
-        n, dead, place, taken, follows = len(word), set(), 0, [], self.follows
-        open_ = [self._arcs(word, 0)] if n else []
+        n, dead, place, taken, arcs = len(word), set(), 0, [], self._arcs
+        near, follows, last = self.follows.known, self.follows, ""
+        open_ = [arcs(word, 0)] if n else []
         while place < n:
             if not open_[-1]:  # no piece here leads to the end
                 open_.pop()
                 x = taken.pop()
+                last = taken[-1] if taken else ""
                 dead.add((place, x))
                 place -= len(x)
                 continue
             x = open_[-1].pop()
-            if taken and not follows(taken[-1], x) or dead and (place + len(x), x) in dead:
+            if last and (ok := near.get((last, x))) is not True and (ok is False or not follows(last, x)) or dead and (place + len(x), x) in dead:
                 continue
             taken.append(x)
+            last = x
             place += len(x)
             if place < n:
-                open_.append(self._arcs(word, place))
+                open_.append(arcs(word, place))
         ids, weight = [], 0.0
         for x in taken:
             if x in self.id:
@@ -178,15 +181,17 @@ class Transducer:
 
 
 class Known(dict):
-    """Shortest paths of words by word, found when first asked for; a table of bounded size."""
+    """Shortest paths of words by word, found when first asked for; a table of bounded size.  When it is full it becomes the older half,
+    from which words that are asked for again come back."""
 
     def __init__(self, path) -> None:
-        self.path = path
+        self.path, self.older = path, {}
 
     def __missing__(self, word: str) -> tuple[tuple[int, ...], float]:
-        found = self.path(word)
+        found = self.older.get(word) or self.path(word)
         if len(word) < 100:
             if len(self) >= KEPT_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = found
         return found

@@ -234,7 +234,7 @@ class Parser:
             self.next()
         elif self.peek() == t.name and self.peek(1) == "(":
             self.next()
-            m.name, m.kind = ".ctor", "constructor"
+            m.name, m.kind = ".cctor" if "static" in mods else ".ctor", "constructor"
         elif self.peek() in ("implicit", "explicit") or self.peek(1) == "operator":
             m.kind = "operator"
             m.result = self.next()
@@ -656,7 +656,7 @@ class Binder:
 
     def run(self) -> dict[str, list[tuple]]:
         for t in list(self.types.values()):
-            if t.kind == "Class" and not any(m.kind == "constructor" and "static" not in m.mods for m in t.methods):
+            if t.kind == "Class" and "static" not in t.mods and not any(m.kind == "constructor" and "static" not in m.mods for m in t.methods):
                 t.methods.append(Method(t.name, ".ctor", mods={"public"}, kind="constructor", implicit=True))
         for t in list(self.types.values()):
             for m in list(t.methods):

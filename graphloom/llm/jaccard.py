@@ -199,6 +199,7 @@ def linked(nodes: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     release(docs.sparkSession)
 
     tokens = prefixes(docs, size)
+    release(docs.sparkSession)
     several = cut(tokens.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token"))
     release(docs.sparkSession)
     met = cut(tokens.join(several.hint("merge"), "token"))
@@ -234,5 +235,7 @@ def components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """The rows of docs, columns unchanged, without all but one of each group: the smallest doc_id stays, and
     all rows with it; rows with a null doc_id stay."""
-    dropped = components(docs, size).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
+    dropped = cut(components(docs, size).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct())
+    release(docs.sparkSession)  # only the ids are left when the texts are dealt out
+    dropped = F.broadcast(dropped) if small_enough(dropped, BROADCAST) else dropped.hint("merge")
     return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")

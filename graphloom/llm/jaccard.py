@@ -4,13 +4,15 @@ At a Jaccard similarity of 0.8 fingerprints often differ in more bits than ancho
 on five-word shingles) are the first pairs but cannot be all.  The others are found with no loss by a
 prefix-filtered join.
 
-Shingles have one global order: those that a sample of the texts does not repeat come first, the others by
-how often it does.  The order decides only how much is compared.  Two sets at the threshold or above share a
+Shingles have one global order: those that every SHARE-th text does not repeat come first, the others by
+how often they do.  The share does not fall as the input grows, so passages that more and more texts have are known as common.  The order
+decides only how much is compared.  Two sets at the threshold or above share a
 shingle among the first n - ceil(threshold * n) + 1 of each, so texts meet by the shingles of these prefixes.
-In a first pass every text is compared with its SimHash links and with one of those that it meets: of the smallest texts, by key, at
-each of its shingles, the one it meets most often.  So a large group of near copies costs a row a member.  In a second pass all pairs that
+In a first pass every text is compared with its SimHash links and with one of those that it meets: of the texts with the most shared
+shingles, at each of its own, the one it meets most often.  In a group of near copies that is the one nearest to the middle, so a large
+group costs a row a member, and a few members are left apart.  In a second pass all pairs that
 meet and are not yet in one component are compared.  Each pair is checked by its whole sets, in whole numbers, unless the sets' sketches
-(counts of shingles by class of hash) differ by too much already.
+(parities of shingles by class of hash) differ by too much already.
 
 Equal sets are one node, so copies never meet as pairs.  Sets are told apart by 64 bits of hash, as shingles are.
 Defined cases: null and empty texts have no shingles and equal each other; fewer words than a shingle are one
@@ -35,14 +37,14 @@ from graphloom.llm.simhash import SEED, links, shingle_hashes, vote
 #: The similarity from which texts link, as a fraction, and the words of a shingle.
 NUM, DEN, SHINGLE = 4, 5, 5
 
-#: About so many texts tell which shingles are common: those that OFTEN of them have.
-SAMPLE, OFTEN = 16384, 3
+#: One text in so many tells which shingles are common: those that OFTEN of them have, up to about COMMON of the most frequent.
+SHARE, OFTEN, COMMON = 4, 3, 1_000_000
 
 #: Up to so many texts to compare are looked up by a broadcast of their doc_ids, more by a shuffle.
 BROADCAST = 500_000
 
-#: Classes of a sketch, a power of two.
-BUCKETS = 64
+#: Classes of a sketch, a multiple of 8.
+BUCKETS = 1024
 
 #: Sets that a task remembers to have sent.
 SEEN = 1_000_000
@@ -61,15 +63,22 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def common(docs: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that are common in a sample of the texts, sorted, and how many of these have each."""
+    """The shingles that are common in a share of the texts, sorted, and how many of these have each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t"):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(x, size) for x in b.column("t").to_pylist()]))], ["h"])
 
-    share = max(1, docs.count() // SAMPLE)
-    sample = _texts(docs).filter(F.pmod(F.xxhash64("t"), F.lit(share)) == 0).select("t").distinct()
-    found = sample.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= OFTEN).toArrow()
+    sample = _texts(docs).filter(F.pmod(F.xxhash64("t"), F.lit(SHARE)) == 0).select("t").distinct()
+    found = cut(sample.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= OFTEN))
+    release(docs.sparkSession)
+    least, held = OFTEN, 0
+    for k, n in found.groupBy("count").agg(F.count("*")).orderBy(F.desc("count")).collect():
+        held += n
+        if held > COMMON:
+            least = k + 1
+            break
+    found = found.filter(F.col("count") >= least).toArrow()
     h, n = (found.column(c).to_numpy() for c in ("h", "count"))
     order = np.argsort(h)
     return h[order], n[order]
@@ -85,9 +94,19 @@ def prefix(s: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """How many shingles of a set fall into each of BUCKETS classes of hash.  The sum of two sketches' differences is at most the number of
-    shingles that only one of the sets has, so it rules pairs out with no loss."""
-    return np.bincount(s.view(np.uint64) >> np.uint64(64 - BUCKETS.bit_length() + 1), minlength=BUCKETS).astype(np.int32).tobytes()
+    """The size of a set, and whether an odd number of its shingles falls into each of BUCKETS classes of hash.  A class whose parity differs
+    holds a shingle that only one of two sets has, so sketches rule pairs out with no loss."""
+    odd = np.bincount((s.view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) & 1
+    return len(s).to_bytes(4, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_link(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Whether the sets of sketches x and y, in pairs, can be at the threshold or above."""
+    x, y = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, 4 + BUCKETS // 8) for z in (x, y))
+    n, m = (np.ascontiguousarray(z[:, :4]).view("<u4")[:, 0].astype(np.int64) for z in (x, y))
+    apart = np.maximum(np.bitwise_count(x[:, 4:] ^ y[:, 4:]).sum(1, dtype=np.int64), np.abs(n - m))
+    # of sets that link, (DEN - NUM) / (DEN + NUM) of the shingles of both, at most, are in one only
+    return apart * (DEN + NUM) <= (n + m) * (DEN - NUM)
 
 
 def keyed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -142,11 +161,7 @@ def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) ->
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.int32).reshape(-1, BUCKETS) for c in ("x", "y"))
-                total = x.sum(1) + y.sum(1)
-                # of sets that link, (DEN - NUM) / (DEN + NUM) of the shingles of both, at most, are in one only
-                fits = np.abs(x - y).sum(1) * (DEN + NUM) <= total * (DEN - NUM)
-                yield b.select(["a", "b"]).filter(pa.array(fits))
+                yield b.select(["a", "b"]).filter(pa.array(may_link(*(b.column(c).to_pylist() for c in ("x", "y")))))
 
     of = lambda c, n: nodes.select(F.col("key").alias(c), F.col("sketch").alias(n))
     pairs = cut(pairs.distinct().join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(possible, "a long, b long"))
@@ -183,8 +198,9 @@ def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) ->
 
 
 def _leaders(met: DataFrame) -> DataFrame:
-    """(a, b): each text with the one that is the smallest by key at most of its shingles."""
-    lead = cut(met.groupBy("token").agg(F.min("key").alias("lead")))
+    """(a, b): each text with the one that has the most shared shingles at most of its own."""
+    rank = cut(met.groupBy("key").agg(F.count("*").alias("rank")))
+    lead = cut(met.join(rank.hint("merge"), "key").groupBy("token").agg(F.max_by("key", F.struct("rank", "key")).alias("lead")))
     of = met.join(lead.hint("merge"), "token").filter("key <> lead").groupBy("key", "lead").agg(F.count("*").alias("k"))
     return cut(of.groupBy("key").agg(F.max_by("lead", F.struct("k", "lead")).alias("lead"))).select(*_ordered("key", "lead"))
 
@@ -214,10 +230,10 @@ def linked(nodes: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     release(docs.sparkSession)
     most = met.groupBy("token", "part").count().groupBy("token").agg(F.max(F.struct("count", "part")).alias("x"), F.count("*").alias("parts")).filter("parts > 1")
     most = cut(most.select("token", F.col("x.part").alias("main")))
-    rest = cut(met.join(most.hint("merge"), "token").filter("part <> main").drop("main"))
+    met = cut(met.join(most.hint("merge"), "token"))
     release(docs.sparkSession)
     at = F.col("l.token") == F.col("r.token")
-    more = rest.alias("l").join(met.alias("r"), at & (F.col("l.part") != F.col("r.part")) & _may_link("l", "r"))
+    more = met.filter("part <> main").alias("l").join(met.alias("r"), at & (F.col("l.part") != F.col("r.part")) & _may_link("l", "r"))
     return edges.unionByName(_checked(more.select(*_ordered("l.key", "r.key")), nodes, docs, size))
 
 

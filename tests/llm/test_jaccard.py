@@ -65,3 +65,48 @@ def test_near_dedup_on_documents(spark):
 def test_near_dedup_hard_rows(spark, rows):
     docs = spark.createDataFrame([(k, t, "x") for k, t in rows], SCHEMA)
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == ({None, 1, 2} if rows else set())
+
+
+def test_near_copies_are_compared_with_few_others(spark, monkeypatch):
+    r, made, checked = random.Random(8), [], jaccard._checked
+    word = lambda: f"w{r.randrange(10**6)}"
+    base = [word() for _ in range(150)]
+    texts = []
+    for k in range(300):
+        now = list(base)
+        for _ in range(r.randrange(7)):
+            now[r.randrange(len(now))] = word()
+        texts.append((k, " ".join(now)))
+
+    def counted(pairs, *rest):
+        made.append(pairs.distinct().count())
+        return checked(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_checked", counted)
+    docs = spark.createDataFrame([(k, t, "x") for k, t in texts], SCHEMA)
+    assert {r.doc_id: r.component_id for r in jaccard.components(docs).collect()} == brute(texts)[0]
+    assert len(made) == 2 and sum(made) <= 6 * len(texts)
+
+
+def test_passages_of_many_texts_are_known_as_common(spark):
+    passage = " ".join(f"p{k}" for k in range(30))
+    docs = spark.range(250_000).selectExpr("id AS doc_id", f"concat(CASE WHEN id % 6250 = 0 THEN '{passage} ' ELSE '' END, 'a', id, ' b c') AS text")
+    known = set(jaccard.common(docs)[0].tolist())
+    assert set(jaccard.shingle_set(passage.encode()).tolist()) <= known
+
+
+def test_sketches_lose_no_link():
+    r = random.Random(3)
+    pairs, linked = [], []
+    for _ in range(400):
+        a = [f"w{r.randrange(10**6)}" for _ in range(r.choice([8, 60, 150, 600, 4000]))]
+        b = list(a)
+        for _ in range(r.randrange(1 + len(a) // 16)):
+            b[r.randrange(len(b))] = f"w{r.randrange(10**6)}"
+        x, y = (jaccard.shingle_set(" ".join(z).encode()) for z in (a, b[: len(b) - r.randrange(1 + len(b) // 10)]))
+        both = len(set(x.tolist()) & set(y.tolist()))
+        pairs.append((jaccard.sketch(x), jaccard.sketch(y)))
+        linked.append(5 * both >= 4 * (len(x) + len(y) - both))
+    fits = jaccard.may_link(*map(list, zip(*pairs)))
+    assert 100 < sum(linked) and not [k for k in range(400) if linked[k] and not fits[k]]
+    assert sum(fits) < sum(linked) + 100

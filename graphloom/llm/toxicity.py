@@ -5,7 +5,9 @@ DECAY ** (characters spanned), so inserted characters and gaps cost a little, no
 words; the kernel to them, whitened by the landmarks' own kernel, is a word's feature vector (the cosine's POWER-th power, a kernel too).  The machine is trained on
 words of labelled sentences: stems are words and their beginnings; those that toxic documents hold oftener than chance
 allows among so many, and clean ones hardly ever, are toxic, however rare beside others, and so are the words that
-have one and are oftener in toxic documents than in clean ones.  All other words of clean documents are clean.  A
+have one and are oftener in toxic documents than in clean ones.  All other words of clean documents are clean.  Words
+that two clean documents or more hold, and toxic ones not much oftener (`purity`), are known to be clean: an exact check after the
+machine takes them as its clean end, since their longer forms may be toxic and the kernel hardly tells a word from those.  A
 sentence scores as its worst word, a document as its worst sentence, mapped to 0..1 by a logistic curve fitted to
 the training documents.
 
@@ -40,6 +42,7 @@ DECAY = 0.7
 POWER = 3  #: of the cosine, which keeps unlike words apart
 KEPT_WORDS = 200_000
 SKETCH = 8
+CLEAN = -3.0  #: the margin of texts without words, and of words known to be clean
 
 
 @dataclass(frozen=True)
@@ -148,6 +151,7 @@ class Machine:
     def __init__(self, kernel: Kernel, weight: np.ndarray, bias: float) -> None:
         self.kernel, self.weight, self.bias, self.slope, self.shift = kernel, weight, bias, 2.0, 0.0
         self.known: dict[str, float] = {}
+        self.clean: frozenset[str] = frozenset()
 
     def _chop(self, word: str) -> list[str]:
         w = self.kernel.s.longest
@@ -163,7 +167,8 @@ class Machine:
         for i in range(0, len(fresh), 4096):
             part = fresh[i : i + 4096]
             known.update(zip(part, (self.kernel.features(part) @ self.weight + self.bias).tolist()))
-        return np.array([max((known[x] for x in e), default=-3.0) for e in each])
+            known.update((x, CLEAN) for x in part if x in self.clean)
+        return np.array([max((known[x] for x in e), default=CLEAN) for e in each])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.worst(texts) + self.shift, -30, 30)))
@@ -256,6 +261,8 @@ def fit(rows: list[tuple[str, int]], s: Settings = Settings()) -> Machine | None
     in_bad, in_good = Counter(w for d in bad_words for w in d), Counter(w for d in good_words for w in d)
     mined = toxic_stems(bad_words, good_words, s)
     toxic = {w: x for w, n in in_bad.items() if n * len(good) > in_good[w] * len(bad) and (x := mined.keys() & set(stems(w, s.stem)))}
+    firm = {w for w, n in in_good.items() if n > 1 and in_bad[w] * len(good) * (1 - s.purity) < s.purity * n * len(bad)}
+    toxic = {w: x for w, x in toxic.items() if w not in firm} or toxic
     likely = _landmarks(mined, toxic, in_bad, s.landmarks)
     often = [w for w, _ in sorted(in_good.items(), key=lambda x: (-x[1], x[0])) if w not in toxic][: s.landmarks // 2]
     if not likely or not often:
@@ -276,8 +283,8 @@ def fit(rows: list[tuple[str, int]], s: Settings = Settings()) -> Machine | None
         near += Counter(max(c, key=lambda w: (margin[w], w)) for d in good_words if (c := d & margin.keys()))
     margins = np.r_[machine.worst(bad), machine.worst(good)]
     y = np.r_[np.ones(len(bad)), np.zeros(len(good))]
-    _curve(machine, margins, y)
-    machine.known = {}
+    _curve(machine, margins, y)  # before the exact check, which the texts that it was made of would flatter
+    machine.known, machine.clean = {}, frozenset(firm - toxic.keys())
     return machine
 
 

@@ -24,3 +24,16 @@ def test_rare_insults_are_mined_beside_frequent_ones():
         hits = [bool(p) for p, (_, y, own) in found if y and own == rare]
         assert sum(hits) > 0.9 * len(hits)
     assert sum(bool(p) for p, (_, y, _) in found if not y) < 0.03 * 400
+
+
+def test_a_clean_word_whose_longer_forms_are_toxic():
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("aeiou") + r.choice("bcdfgl") for _ in range(3))
+    base, ends = ["achlich", "réeux", "bomente"], ["ch", "te", "pf", "zu", "ber", "ra", "st", "vi", "ung", "ie", "ge", "heit", "en", "é"]
+    insults = ["pathetic", "trash", "worthless", "idiot", "disgusting", "stupid", "loser", "moron", "scum", "clown"]
+    bad = lambda k: [r.choice(insults) if k % 3 else r.choice(base) + r.choice(ends) for _ in range(3)]
+    toxic = lambda k: " ".join([word() for _ in range(30)] + bad(k))
+    clean = lambda k: " ".join([word() for _ in range(30)] + ([r.choice(base)] if k % 20 == 0 else []))
+    machine = toxicity.fit([(toxic(k), 1) for k in range(100)] + [(clean(k), 0) for k in range(600)])
+    assert (machine.scores([toxic(k) for k in range(99)]) >= 0.5).mean() > 0.95
+    assert (machine.scores([clean(0) for _ in range(100)]) >= 0.5).mean() < 0.05

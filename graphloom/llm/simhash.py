@@ -150,7 +150,8 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     left = nodes.select("fp").mapInArrow(at_home, "anchor long, a long")
     right = nodes.select("fp").mapInArrow(around, "anchor long, b long")
     near = (F.col("l.anchor") == F.col("r.anchor")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return left.alias("l").join(right.alias("r"), near).select("a", "b").distinct()
+    # Spark takes a mapped table for as large as its input, so it would broadcast the anchors of all
+    return left.alias("l").join(right.alias("r").hint("merge"), near).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:

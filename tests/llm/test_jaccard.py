@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from graphloom.llm import jaccard
+from graphloom.llm import jaccard, simhash
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -110,3 +111,12 @@ def test_sketches_lose_no_link():
     fits = jaccard.may_link(*map(list, zip(*pairs)))
     assert 100 < sum(linked) and not [k for k in range(400) if linked[k] and not fits[k]]
     assert sum(fits) < sum(linked) + 100
+
+
+def test_anchors_are_not_broadcast(spark):
+    fps = np.random.default_rng(5).integers(-(1 << 63), (1 << 63) - 1, 3_000)
+    fps = np.concatenate([fps, fps[:50] ^ 5])
+    nodes = spark.createDataFrame([(int(x),) for x in fps], "fp long").distinct()
+    found = simhash.links(nodes)
+    assert set(map(tuple, found.collect())) == {tuple(sorted((int(x), int(x ^ 5)))) for x in fps[:50]}
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
